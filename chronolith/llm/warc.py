@@ -28,6 +28,7 @@ from pyspark.sql.datasource import (
     Filter,
     In,
     InputPartition,
+    IsNotNull,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
@@ -189,13 +190,13 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
-        self.tests: list[tuple[str, tuple]] = []
+        self.tests: list[tuple[str, tuple | None]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and membership of header columns are tested here; all others go back to Spark."""
+        """Equality, membership and presence of header columns are tested here; all others go back to Spark."""
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute[0] in FIELDS and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
+            if isinstance(f, (EqualTo, In, IsNotNull)) and f.attribute[0] in FIELDS and len(f.attribute) == 1:
+                self.tests.append((f.attribute[0], None if isinstance(f, IsNotNull) else (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
             else:
                 yield f
 
@@ -217,7 +218,7 @@ class WarcReader(DataSourceReader):
                     row = {k: head.get(h) for k, h in FIELDS.items()}
                     row["payload_digest"] = digest_hex(row["payload_digest"])
                     row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
-                    if any(row[k] is None or row[k] not in values for k, values in self.tests):
+                    if any(row[k] is None or values is not None and row[k] not in values for k, values in self.tests):
                         continue
                     payload = None
                     if self.payload and row["record_type"] == "response":
