@@ -7,8 +7,9 @@ n-gram's score is its count by its context's if counted ``least`` times or more,
 score of the n-gram one shorter, down to the byte's share of the corpus.
 
 The exploded n-grams are kept as postings: one row for each n-gram and block of rows, with the block's
-texts that hold it. Postings meet the score table by hash of the n-gram, and their sums meet again by
-text; an n-gram in every text is thus a row for each block, and no key gathers more.
+texts that hold it. Each (n-gram, block) meets the score table by hash of the n-gram and goes back to its
+block, where the texts are summed; an n-gram in every text is thus a row for each block, and no key
+gathers more.
 """
 
 from __future__ import annotations
@@ -111,6 +112,24 @@ def score_table(counts: DataFrame, order: int = ORDER, least: int = LEAST) -> Da
     return score.select("gram", F.log("score").alias("log_score"))
 
 
+def _sums(posts: pa.Table, scores: pa.Table) -> pa.Table:
+    """The sums of one block's texts."""
+    posts, scores = posts.combine_chunks(), scores.combine_chunks()
+    gram = posts.column("gram").to_numpy()
+    ids = posts.column("ids").filter(pa.array(gram < 0)).combine_chunks().flatten()
+    held = posts.filter(pa.array(gram >= 0)).combine_chunks()
+    known = scores.column("of").to_numpy()
+    order = np.argsort(known)
+    score = scores.column("log_score").to_numpy()[order[np.searchsorted(known, held.column("gram").to_numpy(), sorter=order)]]
+    texts, times = held.column("texts").combine_chunks(), held.column("times").combine_chunks().flatten().to_numpy()
+    each = np.repeat(score, texts.value_lengths().to_numpy())
+    at = texts.flatten().to_numpy()
+    total = np.bincount(at, times * each, len(ids))
+    n = np.bincount(at, times, len(ids)).astype(np.int64)
+    mean = pa.array(np.round(total / np.maximum(n, 1), 9), mask=n == 0)
+    return pa.Table.from_arrays([ids, pa.array(n), pa.array(np.round(total, 6)), mean], names=["doc_id", "n_grams", "log_prob", "mean_log_prob"])
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """``doc_id, n_grams, log_prob, mean_log_prob`` of every whole text, under the counts of all of docs.
 
@@ -122,14 +141,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFr
     posts = written(_postings(docs, order), "postings")
     counts = written(posts.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     scores = written(score_table(counts, order, least), "scores")
-    met = posts.where("gram >= 0").select("gram", "block", "texts", "times").join(scores, "gram")
-    each = met.select("block", "log_score", F.inline(F.arrays_zip("texts", "times")))
-    sums = each.groupBy("block", F.col("texts").alias("at")).agg(
-        F.sum(F.col("times") * F.col("log_score")).alias("log_prob"), F.sum(F.col("times").cast("bigint")).alias("n_grams")
-    )
-    ids = posts.where("gram = -1").select("block", F.posexplode("ids").alias("at", "doc_id"))
-    out = ids.join(sums, ["block", "at"], "left")
-    return out.select(
-        "doc_id", F.coalesce("n_grams", F.lit(0)).cast("bigint").alias("n_grams"),
-        F.round(F.coalesce("log_prob", F.lit(0.0)), 6).alias("log_prob"), F.round(F.col("log_prob") / F.col("n_grams"), 9).alias("mean_log_prob"),
-    )
+    # narrow rows meet the scores by gram, and go back to their blocks, where texts are summed whole
+    met = posts.where("gram >= 0").select("gram", F.col("block").alias("to")).join(scores.hint("merge"), "gram").select("to", F.col("gram").alias("of"), "log_score")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = posts.select("block", "gram", "texts", "times", "ids").groupBy("block").cogroup(met.groupBy("to"))
+    return out.applyInArrow(_sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")
