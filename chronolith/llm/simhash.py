@@ -209,7 +209,9 @@ def content_prints(text: bytes | None) -> tuple[int, bytes]:
 
 
 def _pairs(signed: DataFrame, radius: int) -> DataFrame:
-    """``(node, sig)`` -> candidate pairs: in each shard the nearest links and a least spanning forest."""
+    """``(node, sig)`` -> candidate pairs: a least spanning forest of each shard's links.
+
+    By the distance of all fingerprints together; the nearest link of every member is in it."""
     one = F.explode(F.sequence(F.lit(0), F.lit(PRINTS - 1)))
     rows = signed.withColumn("f", one).withColumn(
         "fp", F.conv(F.hex(F.substring("sig", F.col("f") * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
@@ -222,13 +224,7 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
             a, b = (x[node[a] != node[b]] for x in (a, b))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, PRINTS)
             far = np.concatenate([np.bitwise_count(sig[a[i : i + 65536]] ^ sig[b[i : i + 65536]]).sum(1, np.int64) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
-            forest = least_forest(table.num_rows, a, b, far)
-            both, end, dist = np.arange(len(a)).repeat(2), np.c_[a, b].ravel(), far.repeat(2)
-            order = np.lexsort((dist, end))
-            both, end = both[order], end[order]
-            start = np.r_[True, end[1:] != end[:-1]] if len(end) else np.zeros(0, bool)
-            rank = np.arange(len(end)) - np.maximum.accumulate(np.where(start, np.arange(len(end)), 0))
-            keep = np.unique(np.r_[forest, both[rank < 3]])
+            keep = least_forest(table.num_rows, a, b, far)
             u, v = node[a[keep]], node[b[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
