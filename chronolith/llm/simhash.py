@@ -28,6 +28,8 @@ BITS, RADIUS = 64, 4
 SHARD = 1024
 #: Expected members of a shard beyond which more blocks are used.
 EXPECTED = 64
+#: Members of a part where texts are compared.
+LATE = 256
 #: Near-duplicate groups: independent fingerprints of a document, and the least cosine of five-word shingle sets.
 PRINTS, SHINGLE, SIMILAR = 6, 5, 0.8
 
@@ -97,13 +99,13 @@ def masks(n: int, radius: int = RADIUS) -> list[int]:
     return out
 
 
-def _meetings(rows: DataFrame, radius: int, n: int) -> DataFrame:
-    """Rows ``(node, fp, f, ...)`` -> the same with their shards and the parts that meet, ordered for a scan."""
+def _meetings(rows: DataFrame, radius: int, n: int, part: int = SHARD) -> DataFrame:
+    """Rows ``(node, fp, f, ...)`` -> the same with their shards and the parts of ``part`` members that meet, ordered for a scan."""
     kept = [c for c in rows.columns if c not in ("fp", "f")]
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(n, radius)))))
     dealt = rows.select("fp", "f", *kept, keys.alias("k")).select("fp", "f", *kept, "k.t", "k.key")
-    big = dealt.groupBy("f", "t", "key").count().where(F.col("count") > SHARD)
-    big = cut(big.select("f", "t", "key", F.ceil(F.col("count") / SHARD).cast("int").alias("parts")))
+    big = dealt.groupBy("f", "t", "key").count().where(F.col("count") > part)
+    big = cut(big.select("f", "t", "key", F.ceil(F.col("count") / part).cast("int").alias("parts")))
     own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "f"), F.col("parts"))).otherwise(0).cast("int")
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
     met = dealt.join(big, ["f", "t", "key"], "left").withColumn("own", own).withColumn("other", other)
@@ -208,15 +210,21 @@ def content_prints(text: bytes | None) -> tuple[int, bytes]:
     return node, np.packbits(sums * 2 > total).tobytes()
 
 
-def _pairs(signed: DataFrame, radius: int) -> DataFrame:
-    """``(node, sig)`` -> candidate pairs: a least spanning forest of each shard's links.
-
-    By the distance of all fingerprints together; the nearest link of every member is in it."""
+def _each_print(signed: DataFrame) -> DataFrame:
+    """A row for each of a signature's fingerprints."""
     one = F.explode(F.sequence(F.lit(0), F.lit(PRINTS - 1)))
-    rows = signed.withColumn("f", one).withColumn(
+    return signed.withColumn("f", one).withColumn(
         "fp", F.conv(F.hex(F.substring("sig", F.col("f") * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
     )
 
+
+def _pairs(signed: DataFrame, radius: int) -> DataFrame:
+    """``(node, sig)`` -> candidate pairs: a least spanning forest of each shard's links.
+
+    By the distance of all fingerprints together. What the forest leaves out is looked at by :func:`_late_links`.
+    """
+    rows = _each_print(signed)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_shards(batches, 8192):
             a, b = _links_in(table, radius)
@@ -232,19 +240,79 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
     return met.mapInArrow(scan, "u bigint, v bigint").distinct()
 
 
-def _cosine(a: bytes | None, b: bytes | None) -> float:
-    sets = []
-    for text in (a, b):
-        words = text.translate(ALNUM_TABLE).split() if text else []
-        sets.append({tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
-    return len(sets[0] & sets[1]) / (len(sets[0]) * len(sets[1])) ** 0.5
+def _shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, in order."""
+    got = list(shingle_hashes(text.translate(ALNUM_TABLE) if text else None, SHINGLE))
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a cosine of at least ``SIMILAR``."""
+    least = SIMILAR * (len(a) * len(b)) ** 0.5
+    if not 0 < least <= min(len(a), len(b)):
+        return False
+    return len(np.intersect1d(a, b, assume_unique=True)) >= least
+
+
+def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
+    """``(node, sig, label)`` -> links ``(u, v)`` that hold between nodes of different labels.
+
+    Every candidate pair of two labels is compared, but none is emitted: a first scan names the
+    members of a shard that have such a candidate, a row each; their texts are brought there, and
+    one task compares the pairs and returns a forest. A task holds the texts of two parts.
+    """
+
+    def between(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        a, b = _links_in(table, radius)
+        label = table.column("label").to_numpy()
+        keep = label[a] != label[b]
+        return a[keep], b[keep]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_shards(batches, 8192):
+            ends = np.unique(np.concatenate(between(table)))
+            yield from table.take(pa.array(ends)).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_shards(batches, 1):
+            shard = table.column("shard").to_numpy()
+            edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            for low, high in zip(edges, edges[1:]):
+                yield _compared(table.slice(low, high - low).combine_chunks(), between)
+
+    members = _meetings(_each_print(open_nodes).select("node", "fp", "f", "label"), radius, open_nodes.count(), LATE)
+    named = members.mapInArrow(name, "shard bigint, fp bigint, node bigint, label bigint, tree boolean, asks boolean")
+    told = cut(named).join(texts.select("node", "text"), "node").repartition("shard").sortWithinPartitions("shard")
+    return told.select("shard", "fp", "node", "label", "tree", "asks", "text").mapInArrow(compare, "u bigint, v bigint")
+
+
+def _compared(table: pa.Table, between) -> pa.RecordBatch:
+    """One shard's links that hold, but those between nodes already connected here."""
+    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+    sets = [_shingle_set(t) for t in utf8(table.column("text").combine_chunks())]
+    root = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    u, v = [], []
+    for a, b in zip(*(x.tolist() for x in between(table))):
+        p, q = find(int(label[a])), find(int(label[b]))
+        if p != q and _similar(sets[a], sets[b]):
+            root[p] = q
+            u.append(int(node[a]))
+            v.append(int(node[b]))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(node, root)`` of word sequences: texts whose five-word shingle sets have a cosine of 0.8 or more, and what they reach.
 
-    Candidates come from ``PRINTS`` SimHashes searched through BK-trees; the shingles of each
-    candidate pair are then compared. ``node`` is the hash from :func:`content_prints`.
+    Candidates come from ``PRINTS`` SimHashes searched through BK-trees. The shingles of a spanning
+    forest of them are compared first, which joins nearly all copies; then those of every candidate
+    pair whose ends are still apart. ``node`` is the hash from :func:`content_prints`.
     """
     ship(docs.sparkSession)
     rows = docs.select("text")
@@ -267,10 +335,23 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 500):
-            same = [_cosine(x, y) >= SIMILAR for x, y in zip(utf8(b.column(2)), utf8(b.column(3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
-
-    return components(both.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint"))
+            same = [_similar(_shingle_set(x), _shingle_set(y)) for x, y in zip(utf8(b.column(2)), utf8(b.column(3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=["u", "v", "same"])
+
+    tested = cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint, same boolean"))
+    root = components(tested.where("same").select("u", "v"))
+
+    # A candidate pair left out of a forest joins two labels only if each has an end of a failed pair.
+    def label(end: str) -> DataFrame:
+        return root.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
+
+    failed = tested.where("not same").join(label("u"), "u", "left").join(label("v"), "v", "left")
+    failed = failed.select(F.coalesce("of_u", "u").alias("a"), F.coalesce("of_v", "v").alias("b")).where("a <> b")
+    unsettled = failed.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+    named = kept.select("node", "sig").join(root, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label"))
+    open_nodes = cut(named.join(unsettled, "label", "left_semi"))
+    late = _late_links(open_nodes, kept, radius)
+    return components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,39 @@ def test_masks_cover_every_near_pair(n):
         assert any((a & (m % 2**64)) == (b & (m % 2**64)) for m in every)
 
 
+def test_near_duplicate_groups_lose_no_link(spark, monkeypatch):
+    """Candidates of every forest may fail while one left out of it holds; all are compared in the end."""
+    monkeypatch.setattr(simhash, "LATE", 16)  # parts that meet pairwise
+    texts = []
+    for _ in range(6):
+        base = prose(60).split()
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(60)] = rng.choice(VOCABULARY)
+            texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = {simhash.content_prints(t.encode()): t.split() for t in texts}
+    nodes = [(n, np.frombuffer(s, np.uint64), {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for (n, s), w in seen.items()]
+    root, held = {n: n for n, _, _ in nodes}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (m, s, x) in enumerate(nodes):
+        for n, t, y in nodes[:i]:
+            if np.bitwise_count(s ^ t).min() <= 4 and len(x & y) >= 0.8 * (len(x) * len(y)) ** 0.5:
+                held += 1
+                p, q = find(m), find(n)
+                root[max(p, q)] = min(p, q)
+    want = {(n, find(n)) for n in root if find(n) != n}
+    assert held > 50 and 6 < len({find(n) for n in root}) < len(root) - 20
+    got = [(r.node, r.root) for r in simhash.near_duplicate_groups(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_drop_near_duplicates(docs, none):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
