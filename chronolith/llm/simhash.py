@@ -99,8 +99,12 @@ def masks(n: int, radius: int = RADIUS) -> list[int]:
     return out
 
 
-def _meetings(rows: DataFrame, radius: int, n: int, part: int = SHARD) -> DataFrame:
-    """Rows ``(node, fp, f, ...)`` -> the same with their shards and the parts of ``part`` members that meet, ordered for a scan."""
+def _meetings(rows: DataFrame, radius: int, n: int, part: int = SHARD, place: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``(node, fp, f, ...)`` -> the same with their shards and the parts of ``part`` members that meet, ordered for a scan.
+
+    A shard's rows come in the order of their nodes, so that ties fall alike in all shards and in
+    repeated tasks. ``place`` may name ``f`` and ``t``, the fingerprint and the mask of a shard.
+    """
     kept = [c for c in rows.columns if c not in ("fp", "f")]
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(n, radius)))))
     dealt = rows.select("fp", "f", *kept, keys.alias("k")).select("fp", "f", *kept, "k.t", "k.key")
@@ -111,11 +115,11 @@ def _meetings(rows: DataFrame, radius: int, n: int, part: int = SHARD) -> DataFr
     met = dealt.join(big, ["f", "t", "key"], "left").withColumn("own", own).withColumn("other", other)
     met = met.select(
         F.xxhash64("f", "t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"),
-        "fp", *kept,
+        "fp", *kept, *place,
         (F.col("own") <= F.col("other")).alias("tree"),
         (F.col("own") >= F.col("other")).alias("asks"),
     )
-    return met.repartition("shard").sortWithinPartitions("shard")
+    return met.repartition("shard").sortWithinPartitions("shard", "node")
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator[pa.Table]:
@@ -229,7 +233,7 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
         for table in _whole_shards(batches, 8192):
             a, b = _links_in(table, radius)
             node = table.column("node").to_numpy()
-            a, b = (x[node[a] != node[b]] for x in (a, b))
+            a, b = (x[node[a] != node[b]] for x in (np.minimum(a, b), np.maximum(a, b)))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, PRINTS)
             far = np.concatenate([np.bitwise_count(sig[a[i : i + 65536]] ^ sig[b[i : i + 65536]]).sum(1, np.int64) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
             keep = least_forest(table.num_rows, a, b, far)
@@ -257,15 +261,28 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
     """``(node, sig, label)`` -> links ``(u, v)`` that hold between nodes of different labels.
 
-    Every candidate pair of two labels is compared, but none is emitted: a first scan names the
-    members of a shard that have such a candidate, a row each; their texts are brought there, and
-    one task compares the pairs and returns a forest. A task holds the texts of two parts.
+    Every candidate pair of two labels is compared once, in the first shard that both are in, but
+    none is emitted: a first scan names the members of a shard that have such a candidate, a row
+    each; their texts are brought there, and one task compares the pairs and returns a forest. A
+    task holds the texts of two parts.
     """
+    n = open_nodes.count()
+    kept_bits = np.array(masks(n, radius), np.int64).view(np.uint64)
 
     def between(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         a, b = _links_in(table, radius)
-        label = table.column("label").to_numpy()
-        keep = label[a] != label[b]
+        label, f, t = (table.column(c).to_numpy() for c in ("label", "f", "t"))
+        keep = (label[a] != label[b]) & (f[a] == f[b]) & (t[a] == t[b])
+        a, b = a[keep], b[keep]
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, PRINTS)
+        own = [np.zeros(0, bool)]
+        for at in range(0, len(a), 8192):
+            p, q = a[at : at + 8192], b[at : at + 8192]
+            near = np.bitwise_count(sig[p] ^ sig[q]) <= radius
+            same = ((fp[p] ^ fp[q])[:, None] & kept_bits) == 0
+            own.append((near.argmax(1) == f[p]) & (same.argmax(1) == t[p]) & same.any(1))
+        keep = np.concatenate(own)
         return a[keep], b[keep]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +297,12 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
             for low, high in zip(edges, edges[1:]):
                 yield _compared(table.slice(low, high - low).combine_chunks(), between)
 
-    members = _meetings(_each_print(open_nodes).select("node", "fp", "f", "label"), radius, open_nodes.count(), LATE)
-    named = members.mapInArrow(name, "shard bigint, fp bigint, node bigint, label bigint, tree boolean, asks boolean")
-    told = cut(named).join(texts.select("node", "text"), "node").repartition("shard").sortWithinPartitions("shard")
-    return told.select("shard", "fp", "node", "label", "tree", "asks", "text").mapInArrow(compare, "u bigint, v bigint")
+    members = _meetings(_each_print(open_nodes).select("node", "fp", "f", "label", "sig"), radius, n, LATE, ("f", "t"))
+    named = cut(members.select("shard", "fp", "node", "label", "sig", "f", "t", "tree", "asks").mapInArrow(
+        name, "shard bigint, fp bigint, node bigint, label bigint, sig binary, f int, t int, tree boolean, asks boolean"
+    ))
+    told = named.join(texts.select("node", "text"), "node").repartition("shard").sortWithinPartitions("shard", "node")
+    return told.select(*named.columns, "text").mapInArrow(compare, "u bigint, v bigint")
 
 
 def _compared(table: pa.Table, between) -> pa.RecordBatch:
@@ -334,8 +353,14 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     both = left.join(kept.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 500):
-            same = [_similar(_shingle_set(x), _shingle_set(y)) for x, y in zip(utf8(b.column(2)), utf8(b.column(3)))]
+        for b in pieces(batches, 200):
+            # a node of many pairs is hashed once for each piece
+            sets: dict[int, np.ndarray] = {}
+            for ids, texts in ((0, 2), (1, 3)):
+                for node, text in zip(b.column(ids).to_pylist(), utf8(b.column(texts))):
+                    if node not in sets:
+                        sets[node] = _shingle_set(text)
+            same = [_similar(sets[u], sets[v]) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=["u", "v", "same"])
 
     tested = cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint, same boolean"))
