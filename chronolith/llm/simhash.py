@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.bktree import Forest, labels_of, least_forest
-from chronolith.llm.common import ALNUM_TABLE, cut, pieces, ship, utf8, written
+from chronolith.llm.common import ALNUM_TABLE, cut, lean, pieces, ship, utf8, written
 from chronolith.llm.graph import components
 
 BITS, RADIUS = 64, 4
@@ -138,6 +138,23 @@ def _whole_shards(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iter
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _bounded(tables: Iterator[pa.Table], pairs: int = 1 << 21) -> Iterator[pa.Table]:
+    """The same in slices whose shards can have about so many pairs in all; a shard with more is a slice."""
+    for table in tables:
+        if not table.num_rows:
+            continue
+        shard = table.column("shard").to_numpy()
+        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        low, total = 0, 0
+        for at, end in zip(edges.tolist(), edges[1:].tolist()):
+            if total and total + (end - at) ** 2 > pairs:
+                yield table.slice(low, at - low).combine_chunks()
+                low, total = at, 0
+            total += (end - at) ** 2
+        if total:
+            yield table.slice(low).combine_chunks()
+
+
 def _links_in(table: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
     fp, shard = table.column("fp").to_numpy().view(np.uint64), table.column("shard").to_numpy()
     tree, asks = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("tree", "asks"))
@@ -230,7 +247,7 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
     rows = _each_print(signed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_shards(batches, 8192):
+        for table in _bounded(_whole_shards(batches, 8192)):
             a, b = _links_in(table, radius)
             node = table.column("node").to_numpy()
             a, b = (x[node[a] != node[b]] for x in (np.minimum(a, b), np.maximum(a, b)))
@@ -241,7 +258,7 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     met = _meetings(rows.select("node", "fp", "f", "sig"), radius, signed.count())
-    return met.mapInArrow(scan, "u bigint, v bigint").distinct()
+    return met.mapInArrow(lean(scan), "u bigint, v bigint").distinct()
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -286,7 +303,7 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
         return a[keep], b[keep]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_shards(batches, 8192):
+        for table in _bounded(_whole_shards(batches, 8192)):
             ends = np.unique(np.concatenate(between(table)))
             yield from table.take(pa.array(ends)).to_batches()
 
@@ -299,10 +316,10 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
 
     members = _meetings(_each_print(open_nodes).select("node", "fp", "f", "label", "sig"), radius, n, LATE, ("f", "t"))
     named = cut(members.select("shard", "fp", "node", "label", "sig", "f", "t", "tree", "asks").mapInArrow(
-        name, "shard bigint, fp bigint, node bigint, label bigint, sig binary, f int, t int, tree boolean, asks boolean"
+        lean(name), "shard bigint, fp bigint, node bigint, label bigint, sig binary, f int, t int, tree boolean, asks boolean"
     ))
     told = named.join(texts.select("node", "text"), "node").repartition("shard").sortWithinPartitions("shard", "node")
-    return told.select(*named.columns, "text").mapInArrow(compare, "u bigint, v bigint")
+    return told.select(*named.columns, "text").mapInArrow(lean(compare), "u bigint, v bigint")
 
 
 def _compared(table: pa.Table, between) -> pa.RecordBatch:
@@ -345,7 +362,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
                 names=["node", "sig", "text"],
             )
 
-    signed = rows.mapInArrow(scan, "node bigint, sig binary, text string")
+    signed = rows.mapInArrow(lean(scan), "node bigint, sig binary, text string")
     # one text for each word sequence: copies in a third of all rows meet as partial results
     kept = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "prints")
     pairs = cut(_pairs(kept.select("node", "sig"), radius))
@@ -363,7 +380,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             same = [_similar(sets[u], sets[v]) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=["u", "v", "same"])
 
-    tested = cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint, same boolean"))
+    tested = cut(both.select("u", "v", "a", "b").mapInArrow(lean(verify), "u bigint, v bigint, same boolean"))
     root = components(tested.where("same").select("u", "v"))
 
     # A candidate pair left out of a forest joins two labels only if each has an end of a failed pair.
@@ -395,7 +412,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "__node"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(scan, f"{schema}, __node bigint")
+    marked = docs.mapInArrow(lean(scan), f"{schema}, __node bigint")
     # the best row of each word sequence, then of each group; ranks carry no text
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns)).alias("rank")
     best = marked.select("__node", rank).groupBy("__node").agg(F.min("rank").alias("rank"))

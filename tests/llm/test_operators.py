@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,6 +142,14 @@ def test_near_duplicate_groups_lose_no_link(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_slices_keep_shards_whole():
+    shard = np.repeat(np.arange(9), [1, 30, 2, 2, 2, 40, 1, 1, 1])
+    table = pa.table({"shard": shard, "x": np.arange(len(shard))})
+    got = list(simhash._bounded(iter([table, table.slice(0, 0)]), 100))
+    assert pa.concat_tables(got).equals(table)
+    assert [set(t.column("shard").to_pylist()) for t in got] == [{0}, {1}, {2, 3, 4}, {5}, {6, 7, 8}]
+
+
 def test_drop_near_duplicates(docs, none):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
