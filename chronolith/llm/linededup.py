@@ -4,6 +4,9 @@ Every line has a hash; the rolling hash of two lines on end chooses where a chun
 line moves no boundary but those beside it. A line of ``PASSAGE`` words or more is a chunk by itself. Chunks
 of several lines and ``LEAST`` words or more, and those long lines, are compared over all
 documents byte by byte; of equal ones the first stays, by id and place, and the others go.
+
+``line_dedup`` is that rule alone, as its SQL has it. ``passage_dedup`` also takes out every repeated run of
+lines of ``PASSAGE`` words or more as a whole, wherever the chunks around it end.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def _words(text: Column) -> Column:
 
 
 def chunked(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with ``__chunks``: an array of (text, may go)."""
+    """df with ``__chunks``: an array of (text, may go, its first line, its last line)."""
     df = _held(df, __lines=F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     df = _held(
         df,
@@ -48,7 +51,8 @@ def chunked(df: DataFrame, text: str = "text") -> DataFrame:
         start = F.when(k > 0, F.get("__ends", k - 1) + 1).otherwise(F.lit(0))
         joined = F.array_join(F.slice("__lines", start + 1, end - start + 1), "\n")
         spaces = F.length(joined) - F.length(F.translate(joined, " \n", "")) + 1
-        return F.struct(joined.alias("text"), (F.get("__long", end) | ((end > start) & (spaces >= LEAST))).alias("may"))
+        may = F.get("__long", end) | ((end > start) & (spaces >= LEAST))
+        return F.struct(joined.alias("text"), may.alias("may"), start.alias("a"), end.alias("b"))
 
     df = _held(df, __chunks=F.transform("__ends", chunk))
     return df.drop("__lines", "__hash", "__long", "__n", "__ends")
@@ -97,3 +101,68 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names, "n_chunks", "n_removed")
+
+
+def _passages(df: DataFrame) -> DataFrame:
+    """df with ``__runs``: for each line with words the least run of ``PASSAGE`` words that starts with it, and the least that ends with it.
+
+    A repeated run of so many words is covered by such runs, which are repeated too: it starts with the
+    first kind and ends with the last kind. Runs are (text, first line, last line).
+    """
+    df = _held(df, __lines=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    bare = F.transform("__lines", lambda x: F.btrim(x, F.lit(" \t\r\f\v")))
+    words = F.transform(bare, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"[ \t\r\f\x0B]+"))))
+    # the line of each word, and the first word of each line that has any
+    df = _held(df, __of=F.flatten(F.transform(words, lambda n, i: F.array_repeat(i, n))))
+    places = F.filter(F.sequence(F.lit(0), F.size("__of") - 1), lambda p: (p == 0) | (F.get("__of", p) != F.get("__of", p - 1)))
+    df = _held(df, __starts=F.when(F.size("__of") > 0, places).otherwise(F.array().cast("array<int>")))
+
+    def both(p: Column, k: Column) -> Column:
+        last = F.coalesce(F.get("__starts", k + 1), F.size("__of")) - 1
+        # a negative place has no word
+        return F.array(
+            F.struct(F.get("__of", p).alias("a"), F.get("__of", p + PASSAGE - 1).alias("b")),
+            F.struct(F.when(last >= PASSAGE - 1, F.get("__of", last - PASSAGE + 1)).alias("a"), F.get("__of", p).alias("b")),
+        )
+
+    ends = F.array_distinct(F.flatten(F.transform("__starts", both)))
+    df = _held(df, __ends=F.filter(ends, lambda x: x["a"].isNotNull() & x["b"].isNotNull()))
+    joined = F.transform("__ends", lambda x: F.struct(F.array_join(F.slice("__lines", x["a"] + 1, x["b"] - x["a"] + 1), "\n").alias("text"), x["a"].alias("a"), x["b"].alias("b")))
+    return _held(df, __runs=joined).drop("__lines", "__of", "__starts", "__ends")
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """``place, b, digest``: all chunks that may go and all least runs of ``PASSAGE`` words, with their last lines."""
+    keyed = _passages(chunked(docs.select("doc_id", "text", *_key(docs))))
+    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
+    out = keyed.select("doc_id", "__a", "__b", F.explode(F.array_union(chunks, F.col("__runs"))).alias("run"))
+    return out.select(
+        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b", F.col("run.a").alias("at")).alias("place"),
+        F.col("run.b").alias("b"),
+        F.unhex(F.sha1("run.text")).alias("digest"),
+    )
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without the lines of repeated chunks and of repeated runs of ``PASSAGE`` words or more.
+
+    A line goes if a run of lines that holds it, a chunk that may go or any run of so many words, is
+    found before, by (doc_id, row, place), a null id last; runs are equal if their SHA-1 is. Blank lines at a
+    run's ends, or beside a line of ``PASSAGE`` words, may stay. Nulls, other rows and ``n_chars`` are
+    treated as by :func:`line_dedup`.
+    """
+    names = docs.columns
+    groups = _runs(docs).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    groups = cut(groups.where("n > 1").select("digest", "first"))
+    met = _runs(docs).join(groups, "digest").where("place <> first")
+    gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set(F.struct(F.col("place.at").alias("a"), "b")).alias("__gone")))
+    keyed = docs.select("*", *_key(docs)).join(gone, ["__a", "__b"], "left")
+    lines = F.split("text", "\n", -1)
+    lost = F.flatten(F.transform("__gone", lambda x: F.sequence(x["a"], x["b"])))
+    keyed = _held(keyed, __lines=F.when(F.col("__gone").isNotNull(), lines), __lost=F.array_distinct(lost))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    out = keyed.select(*(c for c in names if c != "text"), text.alias("text"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)

@@ -258,6 +258,40 @@ def test_line_dedup(docs, none):
     assert linededup.line_dedup(none).count() == 0
 
 
+def test_passage_dedup_takes_whole_runs(spark, docs, none):
+    """Against every run of lines of every text: what was found before goes, and all that line_dedup takes."""
+    shared = [[prose(n, n) for _ in range(k)] for k, n in ((2, 30), (3, 18), (4, 15), (6, 10), (1, 55)) for _ in range(6)]
+    shared.append([prose(20, 20), "", *(prose(9, 9) for _ in range(5)), " \t", prose(12, 12)])
+    texts = []
+    for _ in range(2):
+        for p in shared:
+            texts.append("\n".join([*(prose(9, 9) for _ in range(rng.randint(0, 4))), *p, *(prose(9, 9) for _ in range(rng.randint(0, 4)))]))
+    texts += ["\n".join(shared[7] * 2), "\n".join(["a b c d e f g"] * 12), "\n" * 80, None, ""]
+    seen, want, whole = set(), [], 0
+    for t in texts:
+        lines = (t or "").split("\n")
+        runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if lines[a].split() and lines[b].split() and sum(len(x.split()) for x in lines[a : b + 1]) >= linededup.PASSAGE]
+        at = 0
+        for c, may in chunks(t):
+            runs += [(at, at + c.count("\n"))] if may else []
+            at += c.count("\n") + 1
+        lost = set()
+        for a, b in sorted(set(runs)):
+            x = "\n".join(lines[a : b + 1])
+            if x in seen:
+                lost |= set(range(a, b + 1))
+            seen.add(x)
+        want.append("\n".join(x for i, x in enumerate(lines) if i not in lost))
+    df = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r.doc_id: r for r in linededup.passage_dedup(df).collect()}
+    assert [got[i].text or "" for i in range(len(texts))] == want
+    assert got[len(texts) - 2].text is None and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+    assert all(not set(p) & set(got[len(shared) + i].text.split("\n")) - {"", " \t"} for i, p in enumerate(shared))
+    assert any(set(p) & set(r.text.split("\n")) for p, r in zip(shared, linededup.line_dedup(df).where(f"doc_id >= {len(shared)} and doc_id < {2 * len(shared)}").orderBy("doc_id").collect()))
+    out = linededup.passage_dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(ROWS) and linededup.passage_dedup(none).count() == 0
+
+
 def bench_rows(spark):
     return spark.createDataFrame([(1, ITEM), (2, None), (3, "  "), (4, "Two words"), (10, ITEM), (10, prose(15))], "item_id long, text string")
 
