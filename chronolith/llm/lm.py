@@ -1,4 +1,6 @@
-"""Language-model scores by Stupid Backoff over byte n-grams, computed relationally.
+"""Language-model scores by Stupid Backoff over n-grams of words (`word_scores`) or of bytes (`lm_scores`).
+
+The byte model, computed relationally:
 
 The letters are UTF-8 bytes (A-Z lowered, runs of ASCII white space as one blank), each text led by
 ``order - 1`` start marks, so every language and script is covered and an n-gram is a number. The count
@@ -10,23 +12,35 @@ The exploded n-grams are kept as postings: one row for each n-gram and block of
 texts that hold it. Each (n-gram, block) meets the score table by hash of the n-gram and goes back to its
 block, where the texts are summed; an n-gram in every text is thus a row for each block, and no key
 gathers more.
+
+The word model counts n-grams of one to ``WORD_ORDER`` words under 64-bit keys; its table grows with the corpus.
+Texts are put in blocks, a row each. A block sends its distinct keys and their counts, dealt by the keys'
+leading bits into buckets, a row for each block and bucket, so a common n-gram is one number for each
+block; a bucket adds the counts up and sends each block the totals of its keys, in their order.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ship, utf8, written
+from chronolith.llm.common import give_back, lean, ship, utf8, written
 
 ORDER, LEAST, BACKOFF = 3, 5, 0.4
 #: Texts and bytes of a block, at most (a longer text is a block of its own).
 BLOCK_ROWS, BLOCK_BYTES, START = 2048, 4_000_000, 2
+#: Words of an n-gram, and bytes of a block and of a bucket's share of the input.
+WORD_ORDER, WORD_BYTES = 3, 2_000_000
+#: Characters of scripts written without blanks (Thai to Burmese, and from the CJK radicals on) are words each.
+_SINGLE = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e-\x9f][\x80-\xbf]|[\xe3-\xed\xef][\x80-\xbf]{2}|\xe2[\xba-\xbf][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == START else c for c in range(256))
 
 
@@ -146,3 +160,164 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = posts.select("block", "gram", "texts", "times", "ids").groupBy("block").cogroup(met.groupBy("to"))
     return out.applyInArrow(_sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")
+
+
+class _Hashes(dict):
+    """Words -> XXH64, filled in as words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Runs of bytes other than ASCII white space, A-Z lowered; characters of scripts without blanks one by one."""
+    text = (text or b"").lower()
+    return (text if text.isascii() else _SINGLE.sub(rb" \g<0> ", text)).split()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _keyed(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """A block's tokens: their text, whether a word, the key of the k-gram that ends at each, and whether that is one.
+
+    A text with words is led by ``order - 1`` start marks, and the k-grams of marks alone are counted once a
+    text, as contexts; ``order`` 1 needs no marks.
+    """
+    seen = _Hashes()
+    # one text's words at a time, as lists of them are large
+    found = [np.fromiter(map(seen.__getitem__, words_of(t)), np.uint64) for t in texts]
+    lead = order - 1
+    sizes = np.array([len(w) + lead if len(w) else 0 for w in found], np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(text)) - start
+    word = at >= lead
+    token = np.zeros(len(text), np.uint64)
+    token[word] = np.concatenate(found)
+    token[~word] = START
+    keys, valid = [], []
+    key = _mixed(token + np.uint64(1))
+    for k in range(1, order + 1):
+        if k > 1:
+            before = np.r_[np.zeros(min(1, len(key)), np.uint64), keys[-1][:-1]]
+            key = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(k))
+        keys.append(key)
+        valid.append(word | ((at == lead - 1) & (k < order)))
+    return text, word, keys, valid
+
+
+def _table(keys: list[np.ndarray], valid: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct keys in order and their counts; key 0 counts the words."""
+    got = np.sort(np.concatenate([k[v] for k, v in zip(keys, valid)]))
+    new = np.flatnonzero(np.r_[True, got[1:] != got[:-1]]) if len(got) else np.zeros(0, np.int64)
+    return np.r_[np.uint64(0), got[new]], np.r_[np.int64(word.sum()), np.diff(np.r_[new, len(got)])]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, so that the empty leading bytes of small ones compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``block, ids, texts, size``: docs in blocks, a row each."""
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            start, size = 0, 0
+            for i, n in enumerate([*lengths, None]):
+                if i > start and (n is None or i - start >= BLOCK_ROWS or size + n > WORD_BYTES):
+                    cut = pa.array([0, i - start], pa.int32())
+                    held = [pa.ListArray.from_arrays(cut, pa.concat_arrays([c.slice(start, i - start)])) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *held, pa.array([size], pa.int64())], names=["block", "ids", "texts", "size"])
+                    block, start, size = block + 1, i, 0
+                size += n or 0
+
+    return rows.mapInArrow(lean(scan), f"block bigint, ids array<{kind}>, texts array<string>, size bigint")
+
+
+def _block_scores(ids: pa.Array, texts: list[bytes | None], total: np.ndarray, order: int) -> pa.Table:
+    """The sums of one block's texts, from the corpus' counts of the block's keys."""
+    text, word, keys, valid = _keyed(texts, order)
+    table, _ = _table(keys, valid, word)
+    n = np.bincount(text[word], minlength=len(texts)).astype(np.int64)
+    others = []
+    for key, is_one in zip(keys, valid):
+        # how often the k-gram that ends here occurs outside of this text
+        place = np.searchsorted(table, key[is_one])
+        _, of, own = np.unique(text[is_one] * len(table) + place, return_inverse=True, return_counts=True)
+        left = np.zeros(len(key), np.int64)
+        left[is_one] = total[place] - own[of]
+        others.append(left)
+    rest = np.maximum(total[0] - n[text], 1)
+    score = np.where(others[0] > 0, others[0], BACKOFF) / rest
+    for k in range(1, order):
+        context = np.r_[np.zeros(min(1, len(text)), np.int64), others[k - 1][:-1]]
+        score = np.where(others[k] > 0, others[k] / np.maximum(context, 1), BACKOFF * score)
+    log = np.bincount(text[word], np.log(score[word]), len(texts))
+    mean = pa.array(np.round(log / np.maximum(n, 1), 9), mask=n == 0)
+    return pa.Table.from_arrays([ids, pa.array(n), pa.array(np.round(log, 6)), mean], names=["doc_id", "n_grams", "log_prob", "mean_log_prob"])
+
+
+def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
+    """``doc_id, n_grams, log_prob, mean_log_prob`` of every whole text, under the counts of all other rows of docs.
+
+    A word's score is the count of its ``order``-gram by its context's, both outside of the text; where
+    the n-gram is nowhere else, ``BACKOFF`` times the score of the n-gram one shorter, down to the word's share, and
+    for a word found nowhere else ``BACKOFF`` by the number of words. log_prob: the sum of the natural
+    logarithms over the text's words; mean: by their number, null for texts without any, whose sum is 0. Repeated
+    rows each count and each give a row; an empty table gives none.
+    """
+    ship(docs.sparkSession)
+    blocks = written(_blocks(docs), "blocks")
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    bits = max(3, min(24, (size // WORD_BYTES).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, word, keys, valid = _keyed(utf8(batch.column(1)[i].values), order)
+                key, n = _table(keys, valid, word)
+                bucket = key >> np.uint64(64 - bits)
+                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                cuts = list(zip(edges.tolist(), edges[1:].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array([batch.column(0)[i].as_py()] * len(cuts), pa.int64()),
+                     pa.array([_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()), pa.array([_planes(n[a:b]) for a, b in cuts], pa.binary())],
+                    names=["bucket", "block", "keys", "n"],
+                )
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+        n = np.concatenate([_unplaned(x, np.int64) for x in rows.column("n").to_pylist()])
+        every, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, of, n)
+        give_back()
+        parts = np.split(total[of], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array([_planes(p) for p in parts], pa.binary())], names=["to", "bucket", "total"])
+
+    def sums(block: pa.Table, told: pa.Table) -> pa.Table:
+        parts = told.sort_by("bucket").column("total").to_pylist()
+        held = block.combine_chunks()
+        ids, texts = held.column("ids").combine_chunks(), held.column("texts").combine_chunks()
+        give_back()
+        return _block_scores(ids.flatten(), utf8(texts.flatten()), np.concatenate([_unplaned(x, np.int64) for x in parts]), order)
+
+    sent = blocks.select("block", "texts").mapInArrow(lean(send), "bucket bigint, block bigint, keys binary, n binary")
+    told = sent.groupBy("bucket").applyInArrow(add, "to bigint, bucket bigint, total binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = blocks.select("block", "ids", "texts").groupBy("block").cogroup(told.groupBy("to"))
+    return out.applyInArrow(sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")

@@ -190,6 +190,57 @@ def test_lm_scores(docs, none):
     assert lm.lm_scores(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_word_scores(docs, none, order, monkeypatch):
+    """Against plain counts of all other rows; the count of distinct n-grams grows with the words."""
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 7)
+    texts = [lm.words_of(r[1].encode() if r[1] else None) for r in ROWS]
+
+    def counted(some):
+        count = {}
+        for w in some:
+            marked = [b"\x02"] * (order - 1) + w if w else []
+            for i in range(max(order - 2, 0), len(marked)):
+                for k in range(1, order + (i >= order - 1)):
+                    g = tuple(marked[i - k + 1 : i + 1])
+                    if i - k + 1 >= 0:
+                        count[g] = count.get(g, 0) + 1
+        return count
+
+    every, n_words = counted(texts), sum(map(len, texts))
+    want = []
+    for r, w in zip(ROWS, texts):
+        own, rest, log = counted([w]), max(n_words - len(w), 1), 0.0
+        marked = [b"\x02"] * (order - 1) + w
+
+        def score(g):
+            n = every[g] - own[g]
+            if len(g) == 1:
+                return (n or 0.4) / rest
+            return n / (every[g[:-1]] - own[g[:-1]]) if n else 0.4 * score(g[1:])
+
+        for i in range(len(w)):
+            log += np.log(score(tuple(marked[i : i + order])))
+        want.append((-1 if r[0] is None else r[0], len(w), log))
+    mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_grams, r.log_prob) for r in lm.word_scores(docs, order).collect())
+    assert [x[:2] for x in mine] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in mine], [x[2] for x in sorted(want)], atol=1e-4)
+    assert lm.word_scores(none, order).count() == 0
+    assert lm.words_of("Ab \u4e2d\u6587 é".encode()) == [b"ab", "\u4e2d".encode(), "\u6587".encode(), "é".encode()]
+
+
+def test_lm_query_counts_words(spark, tmp_path):
+    """Word order counts: a text that occurs twice scores above its words in another order."""
+    from chronolith.llm import queries
+
+    base = prose(200).split()
+    other = rng.sample(base, len(base))
+    rows_ = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(other)), *((10 + i, prose(200)) for i in range(8))]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    by = {r.doc_id: r.mean_log_prob for r in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    assert by[1] == by[2] > by[3] + 3
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 600
     data = [(1, "http://a", big), (2, "u\r\nx: y", big), (3, None, "short"), (4, "c", "short"), (5, "d", None), (6, "e", ""), (7, "f", big[:-1] + "x"), (2, "again", big), (None, "n", big)]
