@@ -28,8 +28,10 @@ COMMON = {
 }
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 _place = {w.encode(): i for i, w in enumerate(WORDS)}
-#: Greatest distance from the nearest reference, and the fewest words for a verdict by each histogram.
-FAR_CLASSES, FAR_WORDS, LEAST_CLASSES, LEAST_WORDS = 0.28, 0.26, 50, 200
+#: Greatest distance from the nearest reference, and the fewest words for a verdict by classes.
+FAR_CLASSES, FAR_WORDS, LEAST_CLASSES = 0.28, 0.26, 50
+#: Texts of fewer words lie farther from their reference by chance: their square distance may be greater by WIDER * (1 / words - 1 / LEAST_WORDS).
+LEAST_WORDS, WIDER = 200, 3.1
 MOST_LANGUAGES = 64
 
 
@@ -77,11 +79,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean histograms of the known languages over all their documents with words enough.
+    """Mean histograms of the known languages over all their documents that have words.
 
     The aggregate has a row for each of COMMON's languages at most, so its size is bounded.
     """
-    known = counted.where(F.col("lang").isin(*sorted(COMMON)[:MOST_LANGUAGES]) & (F.col("n_words") >= LEAST_WORDS))
+    known = counted.where(F.col("lang").isin(*sorted(COMMON)[:MOST_LANGUAGES]) & (F.col("n_words") > 0))
     points, words = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x), F.col("n_words").cast("double")
     sums = known.groupBy("lang").agg(
         F.count("*").alias("n"),
@@ -94,12 +96,17 @@ def references(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return classes, np.c_[common, np.maximum(1 - common.sum(1), 0)]
 
 
+def far_words(words: np.ndarray) -> np.ndarray:
+    """The greatest distance by common words of texts of so many words."""
+    return np.sqrt(FAR_WORDS**2 + WIDER * np.maximum(1 / np.maximum(words, 1) - 1 / LEAST_WORDS, 0))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts and the verdict of every whole text.
 
     ``base_failed``: under 50 words, or over half the words in repeated three-word windows.
     ``kept``: false if base_failed; else false only if the text is far from every reference, by
-    classes (from ``LEAST_CLASSES`` words) or by common words (from ``LEAST_WORDS`` words).
+    classes (from ``LEAST_CLASSES`` words) or by common words (:func:`far_words`, wider for short texts).
     Null and empty texts have no words and fail. Without any reference (no known language, or
     an empty table) no text is far. Repeated rows each give a row; a null id stays null.
     """
@@ -119,7 +126,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             p, q = _shares(classes, common, col["n_words"])
             near = [js_distance(x, r).min(1) if len(r) else np.zeros(len(x)) for x, r in ((p, ref_classes), (q, ref_words))]
             failed = (col["n_words"] < 50) | (100 * col["n_repeat_words"] > 50 * col["n_words"])
-            far = (near[0] > FAR_CLASSES) & (col["n_words"] >= LEAST_CLASSES) | (near[1] > FAR_WORDS) & (col["n_words"] >= LEAST_WORDS)
+            far = (near[0] > FAR_CLASSES) & (col["n_words"] >= LEAST_CLASSES) | (near[1] > far_words(col["n_words"]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(b.column(c) for c in out), pa.array(failed), pa.array(~failed & ~far), pa.array(near[0]), pa.array(near[1])],
                 names=["doc_id", *out, "base_failed", "kept", "class_distance", "word_distance"],

@@ -274,6 +274,16 @@ def test_quality_rules(docs, none):
     assert rules.quality_rules(none).count() == 0
 
 
+def test_quality_rules_judge_short_texts(spark):
+    """Word soup of 50 to 199 words in usual letters goes, clean texts as short stay."""
+    often, seldom = rules.COMMON["en"].split(), ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 9))) for _ in range(2000)]
+    clean = [" ".join(rng.choice(often[:8] if i % 2 else seldom) for i in range(n)) for n in range(50, 200, 3)]
+    junk = [" ".join(rng.choice(seldom) for _ in range(n)) for n in range(50, 200, 15)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in rules.quality_rules(df).where("kept").collect()}
+    assert kept == set(range(len(clean)))
+
+
 def test_js_distance():
     p = np.array([[1.0, 0, 0], [0.5, 0.5, 0]])
     assert np.allclose(np.diag(rules.js_distance(p, p)), 0) and np.isclose(rules.js_distance(p[:1], np.array([[0.0, 1, 0]]))[0, 0], 1)
