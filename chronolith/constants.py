@@ -12,6 +12,8 @@ OPEN_YEAR = 2200
 EF, ET, AF, AT = "effective_from", "effective_to", "as_of_from", "as_of_to"
 TEMPORAL = (EF, ET, AF, AT)
 HASH = "value_hash"
+#: Tells the rows of both results apart where they are one table.
+CHANGE = "change"
 DELTA, FULL_STATE = "delta", "full_state"
 MODES = (DELTA, FULL_STATE)
 ALGORITHMS = {"xxhash": "xxhash", "xx": "xxhash", "sha256": "sha256", "sha": "sha256"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.constants import ALGORITHMS, HASH
-from chronolith.functions.jvm import active, double_bits, little_endian, xxh64
+from chronolith.functions.jvm import WIDE, apart, double_bits, little_endian, xxh64
 
 NULL = b"NULL"
 
@@ -46,12 +46,12 @@ def payload_of(value: Column, kind: T.DataType, timestamp_unit: str = "us") -> C
         out = little_endian(value.cast("bigint"))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         d = value.cast("double")
-        whole = (d == F.floor(d)) & (F.abs(d) < 9.2e18)
-        out = little_endian(F.when(whole, d.cast("bigint")).otherwise(double_bits(active(), d)))
+        whole = (d == F.rint(d)) & (F.abs(d) < 9.2e18)
+        out = little_endian(F.when(whole, d.cast("bigint")).otherwise(double_bits(d)))
     elif isinstance(kind, T.BooleanType):
         out = F.when(value, F.lit(b"\x01")).when(~value, F.lit(b"\x00"))
     elif isinstance(kind, T.DateType):
-        out = little_endian(F.unix_date(value).cast("bigint"), 4)
+        out = little_endian(F.unix_date(value), 4)
     elif isinstance(kind, T.TimestampNTZType):
         micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)
         out = little_endian(micros * (1000 if timestamp_unit == "ns" else 1))
@@ -70,22 +70,29 @@ def payload(df: DataFrame, fields: Sequence[str], timestamp_unit: str = "us") ->
     """The bytes of all fields on end, in their order, with nothing between."""
     if not fields:
         return F.lit(b"")
-    return F.concat(*(payload_of(F.col(f"`{f}`"), df.schema[f].dataType, timestamp_unit) for f in fields))
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.concat(*(payload_of(F.col(f"`{f}`"), kinds[f], timestamp_unit) for f in fields))
 
 
 def digest(value: Column, name: str = "xxhash") -> Column:
     """Lower-case hexadecimal digits: 16 of XXH64 with seed 0, or 64 of SHA-256."""
     if algorithm(name) == "sha256":
         return F.sha2(value, 256)
-    return F.lower(F.lpad(F.hex(xxh64(active(), value)), 16, "0"))
+    return F.lower(F.lpad(F.hex(xxh64(value)), 16, "0"))
 
 
-def with_value_hash(df: DataFrame, fields: Sequence[str], hash_algorithm: str = "xxhash", timestamp_unit: str = "us") -> DataFrame:
-    """df with ``value_hash`` added, or replaced where it stands; no action runs."""
+def value_hash(df: DataFrame, fields: Sequence[str], hash_algorithm: str = "xxhash", timestamp_unit: str = "us") -> Column:
+    """The hash as an expression over df, or any table whose fields have the same names and types."""
     missing = [f for f in fields if f not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
-    return df.withColumn(HASH, digest(payload(df, fields, timestamp_unit), hash_algorithm))
+    out = digest(payload(df, fields, timestamp_unit), hash_algorithm)
+    return apart(out, F.col(f"`{fields[0]}`")) if len(fields) > WIDE else out
+
+
+def with_value_hash(df: DataFrame, fields: Sequence[str], hash_algorithm: str = "xxhash", timestamp_unit: str = "us") -> DataFrame:
+    """df with ``value_hash`` added, or replaced where it stands; no action runs."""
+    return df.withColumn(HASH, value_hash(df, fields, hash_algorithm, timestamp_unit))
 
 
 def add_hash_key(df: DataFrame, value_fields: Sequence[str], hash_algorithm: str = "xxhash", check_empty: bool = True) -> DataFrame:

@@ -1,18 +1,22 @@
 """Predicates of half-open intervals ``[from, to)``, and windows that find what they hold for.
 
-An id may have any number of rows, so nothing here joins the rows of an id with each other: a running
-maximum over sorted rows tells whether an interval meets any of another kind, in one pass.
+An id may have any number of rows, so nothing here joins the rows of an id with each other. Rows in the order of
+their start know two things by one pass: the latest end of those before them, and the start of the next one.
+What meets or touches a row is told by these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from chronolith.constants import AF, AT, EF, ET, HASH, OPEN_YEAR, TEMPORAL
+from chronolith.functions.jvm import next_known
 
 
 def intersects(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
@@ -45,21 +49,49 @@ def is_valid(effective_from: Column, effective_to: Column) -> Column:
     return effective_from < effective_to
 
 
-def conflate(df: DataFrame, keys: Sequence[str], same: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def so_far(by: WindowSpec) -> WindowSpec:
+    return by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole(by: WindowSpec) -> WindowSpec:
+    return by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def latest_end(of: Column, by: WindowSpec) -> Column:
+    """The latest end of the rows up to here for which ``of`` holds."""
+    return F.max(F.when(of, F.col(ET))).over(so_far(by))
+
+
+def next_start(of: Column, by: WindowSpec, start: str = EF) -> Column:
+    """The start of the next row for which ``of`` holds."""
+    return next_known(F.when(of, F.col(start))).over(by)
+
+
+def meets(of: Column, by: WindowSpec) -> Column:
+    """Whether a row intersects any other for which ``of`` holds; ``by`` is in the order of starts, equal ones in any."""
+    return F.coalesce(latest_end(of, by) > F.col(EF), F.lit(False)) | F.coalesce(next_start(of, by) < F.col(ET), F.lit(False))
+
+
+def touches(of: Column, by: WindowSpec) -> Column:
+    """Whether a row that intersects none of those for which ``of`` holds is end to end with one."""
+    return F.coalesce(latest_end(of, by) == F.col(EF), F.lit(False)) | F.coalesce(next_start(of, by) == F.col(ET), F.lit(False))
+
+
+def conflate(df: DataFrame, keys: Sequence[str], same: Sequence[str], order: Sequence[str] = (), apart: Column | None = None) -> DataFrame:
     """Merge runs of rows of a key that touch end to start and agree on ``same`` (nulls agree).
 
-    The first row of a run stays, with the run's last ``effective_to``.
+    The first row of a run stays, with the end of its last. Rows for which ``apart`` holds start a run. All is
+    told in one order of the rows: a run ends with the row before the next run's first.
     """
     by = Window.partitionBy(*keys).orderBy(EF, ET, *order)
-    last, now = "__last", F.struct(F.col(ET), *(F.col(f"`{c}`") for c in same))
-    df = df.withColumn(last, F.lag(now).over(by))
-    touch = F.col(f"{last}.{ET}") == F.col(EF)
-    for c in same:
-        touch = touch & F.col(f"{last}.`{c}`").eqNullSafe(F.col(f"`{c}`"))
-    df = df.withColumn("__new", ~F.coalesce(touch, F.lit(False))).drop(last)
-    df = df.withColumn("__run", F.sum(F.col("__new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    df = df.withColumn(ET, F.max(ET).over(Window.partitionBy(*keys, "__run")))
-    return df.where("__new").drop("__new", "__run")
+    last, last_end = "__last", F.last(ET).over(whole(by))
+    df = df.withColumns({last: F.lag(F.struct(F.col(ET), *(F.col(f"`{c}`") for c in same))).over(by), "__stop": last_end})
+    joins = reduce(and_, (F.col(f"{last}.`{c}`").eqNullSafe(F.col(f"`{c}`")) for c in same), F.col(f"{last}.{ET}") == F.col(EF))
+    if apart is not None:
+        joins = joins & ~apart
+    df = df.withColumn("__before", F.col(f"{last}.{ET}")).where(~F.coalesce(joins, F.lit(False))).drop(last)
+    df = df.withColumn("__to", F.coalesce(F.lead("__before").over(by), "__stop"))
+    return df.withColumn(ET, F.col("__to")).drop("__to", "__stop", "__before")
 
 
 def conflate_updates(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -67,15 +99,17 @@ def conflate_updates(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     return conflate(df, keys, [HASH], order)
 
 
-def conflate_inserts(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), hidden: Sequence[str] = ()) -> DataFrame:
+def conflate_inserts(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), hidden: Sequence[str] = (), apart: Column | None = None) -> DataFrame:
     """Output conflation: runs that agree on every column that is not temporal."""
-    return conflate(df, keys, [c for c in df.columns if c not in (*TEMPORAL, *keys, *hidden)], order)
+    return conflate(df, keys, [c for c in df.columns if c not in (*TEMPORAL, *keys, *hidden)], order, apart)
 
 
-def distinct_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """One row of each key, range and hash: the first by order."""
-    by = Window.partitionBy(*keys, EF, ET, HASH).orderBy(*(order or (AF, AT)))
-    return df.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
+def distinct_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), apart: Column | None = None) -> DataFrame:
+    """One row of each key, range and hash, the first by order; and all for which ``apart`` holds."""
+    by = Window.partitionBy(*keys).orderBy(EF, ET, HASH, *(order or (AF, AT)))
+    now = F.struct(EF, ET, HASH)
+    again = F.lag(now).over(by).eqNullSafe(now)
+    return df.withColumn("__again", again if apart is None else again & ~apart).where("not __again").drop("__again")
 
 
 def elementary_segments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,28 +119,16 @@ def elementary_segments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.where("segment_to is not null")
 
 
-def meets(kind_asks: Column, key: Sequence[str]) -> Column:
-    """For rows that ask: whether they intersect any row of their key that does not ask."""
-    point, held = F.when(kind_asks, F.col(ET)).otherwise(F.col(EF)), F.when(~kind_asks, F.col(ET))
-    by = Window.partitionBy(*key).orderBy(point, (~kind_asks).cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return kind_asks & F.coalesce(F.max(held).over(by) > F.col(EF), F.lit(False))
-
-
-def touches(kind_asks: Column, other: Column, key: Sequence[str]) -> Column:
-    """For rows that ask: whether a row of their key for which ``other`` holds ends where they start or starts where they end."""
-
-    def at(mine: str, theirs: str) -> Column:
-        point = F.when(kind_asks, F.col(mine)).otherwise(F.col(theirs))
-        return F.max(F.when(~kind_asks & other, 1)).over(Window.partitionBy(*key, point)) == 1
-
-    return kind_asks & (F.coalesce(at(EF, ET), F.lit(False)) | F.coalesce(at(ET, EF), F.lit(False)))
-
-
-def first_started(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut the rows of a key so that each instant is left to the row that started first there.
+def first_start(by: WindowSpec, among: Column | None = None) -> Column:
+    """Where a row's own part starts, if each instant is left to the row that started first there.
 
     The first-started row that covers an instant is the first by order that has not ended; so a row
     holds what lies after the latest end of all rows before it, which is one piece or nothing.
     """
-    by = Window.partitionBy(*key).orderBy(EF, *order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(EF, F.greatest(F.col(EF), F.max(ET).over(by))).where(F.col(EF) < F.col(ET))
+    ends = F.col(ET) if among is None else F.when(among, F.col(ET))
+    return F.greatest(F.col(EF), F.max(ends).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def first_started(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Cut the rows of a key so that each instant is left to the row that started first there."""
+    return df.withColumn(EF, first_start(Window.partitionBy(*key).orderBy(EF, *order))).where(F.col(EF) < F.col(ET))

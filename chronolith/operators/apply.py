@@ -15,13 +15,22 @@ def as_of(df: DataFrame, effective: Column, known: Column) -> DataFrame:
     return df.where((F.col(EF) <= effective) & (F.col(ET) > effective) & (F.col(AF) <= known) & (F.col(AT) > known))
 
 
+def _unchanged(current: DataFrame, expire: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+    keys = [*id_columns, EF, AF, *([HASH] if HASH in current.columns else [])]
+    gone = expire.select(F.struct(*keys).alias("_key")).distinct()
+    return current.withColumn("_key", F.struct(*keys)).join(gone, "_key", "left_anti").drop("_key")
+
+
 def apply_changes(current: DataFrame, expire: DataFrame, insert: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     """The table after a change set: rows left alone, rows expired and rows inserted.
 
     An expired row is found by id, start and ``as_of_from``, nulls included; its hash is compared if current has one.
     """
-    keys = [*id_columns, EF, AF, *([HASH] if HASH in current.columns else [])]
-    gone = expire.select(F.struct(*keys).alias("_key")).distinct()
     names = [c for c in current.columns if c in expire.columns]
-    left = current.withColumn("_key", F.struct(*keys)).join(gone, "_key", "left_anti").drop("_key")
-    return left.select(*names).unionByName(expire.select(*names)).unionByName(insert.select(*names))
+    return _unchanged(current, expire, id_columns).select(*names).unionByName(expire.select(*names)).unionByName(insert.select(*names))
+
+
+def apply_change_set(current: DataFrame, changes, id_columns: Sequence[str]) -> DataFrame:
+    """The same of a whole ``ChangeSet``: its rows come from one pass, and what finds the expired ones is narrow."""
+    names = [c for c in current.columns if c in changes.both.columns]
+    return _unchanged(current, changes.expire, id_columns).select(*names).unionByName(changes.both.select(*names))

@@ -1,67 +1,107 @@
 """Delta mode: split, overwrite and extend the timelines that a batch of updates touches.
 
 Current rows and updates go into one table that is dealt out by id once; every later step is a window
-over an id or a part of it, so the whole mode is one exchange and some sorts, in time n log n for
-an id of n rows.
+over an id or a part of it, so the whole mode is one exchange and five sorts, in time n log n for
+an id of n rows. Rows are lean: ids, times, hash, and all else in one struct that no step opens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolith.constants import AF, AT, EF, ET, HASH
-from chronolith.functions.intervals import conflate_inserts, distinct_segments, first_started, is_valid, meets, touches
+from chronolith.functions.intervals import conflate, distinct_segments, first_start, is_valid, latest_end, meets, next_start, so_far, touches, whole
+
+EXPIRE, INSERT = "expire", "insert"
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether Spark would send a table of this estimated size to all executors by itself."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= conf.autoBroadcastJoinThreshold()
 
-HIDDEN = ("_id", "_ord")
 
+def touched(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The current rows whose id has updates, where the ids are few enough to be sent to all; else all.
+
+    The others change nothing; this only keeps them out of the exchange.
+    """
+    ids = updates.select(*(F.col(k).alias(f"_of{k}") for k in keys))
+    if not _small(ids):
+        return current
+    return current.join(ids.distinct(), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys)), "left_semi")
 
-def categorized(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Both tables, keyed, with ``_role``.
+
+def roles(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Both tables, lean, with ``_role``.
 
     C: a current row to expire. K: one to keep. U: an update that meets the timeline, in business time or end to end with an
     equal row it extends. N: an update by itself. Updates that say what some current row
     says already, those of no width, and the rows of ids without updates are left out.
     """
-    update = F.col("_update")
-    rows = current.withColumn("_update", F.lit(False)).unionByName(updates.withColumn("_update", F.lit(True)))
-    rows = rows.where(is_valid(F.col(EF), F.col(ET)))
-    rows = rows.withColumn("_any", F.max("_update").over(Window.partitionBy("_id"))).where("_any").drop("_any")
-    rows = rows.withColumn("_known", meets(update, ["_id", HASH])).where("not _known").drop("_known")
-    rows = rows.withColumn("_inter", meets(update, ["_id"]))
-    rows = rows.withColumn("_adj", touches(update, F.lit(True), ["_id", HASH]) & ~F.col("_inter"))
-    rows = rows.withColumn("_hit", meets(~update, ["_id"]) | touches(~update, ~F.col("_inter"), ["_id", HASH]))
-    role = F.when(update & (F.col("_inter") | F.col("_adj")), "U").when(update, "N").when(F.col("_hit"), "C").otherwise("K")
-    return rows.withColumn("_role", role).drop("_update", "_inter", "_adj", "_hit")
-
-
-def expired(rows: DataFrame, batch_timestamp: Column) -> DataFrame:
-    return rows.where("_role = 'C'").withColumn(AT, batch_timestamp).drop("_role", *HIDDEN)
-
-
-def inserted(rows: DataFrame, end: Column) -> DataFrame:
-    """The new rows: updates, and what is left of current rows beside them."""
-    kept = [c for c in rows.columns if c not in ("_id", "_role")]
-    first = F.min(F.when(F.col("_role") == "U", F.struct("_ord", AF))).over(Window.partitionBy("_id"))
-    rows = rows.where("_role <> 'K'").withColumn("_first", first[AF])
-    alone = F.col("_role") == "N"
-    single = first_started(rows.withColumn("_lane", F.when(alone, F.col("_ord"))), ["_id", "_role", "_lane"], ["_ord", AF]).drop("_lane")
-    # every piece is an event where it starts; those of the timeline are another where they end
-    own = F.struct(*(F.col(f"`{c}`") for c in kept))
-    ends = F.when(alone, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-    events = single.select("_id", "_role", "_first", own.alias("_row"), F.explode(ends).alias("_starts"))
-    events = events.withColumn("_t", F.when(F.col("_starts"), F.col(f"_row.{EF}")).otherwise(F.col(f"_row.{ET}")))
-    begins = lambda role: F.col("_starts") & (F.col("_role") == role)
-    by = Window.partitionBy("_id", F.col("_role") == "N").orderBy("_t")
-    events = (
-        events.withColumn("_next", F.lead("_t").over(by))
-        .withColumn("_covered", F.max(F.when(begins("U"), F.col(f"_row.{ET}"))).over(by))
-        .withColumn("_under", F.last(F.when(begins("C"), F.col("_row")), ignorenulls=True).over(by))
+    update, inter, lone = F.col("_update"), F.col("_inter"), F.col("_update") & ~F.col("_inter")
+    sides = touched(current, updates, keys).withColumn("_update", F.lit(False)), updates.withColumn("_update", F.lit(True))
+    rows = sides[0].unionByName(sides[1]).where(is_valid(F.col(EF), F.col(ET)))
+    by = Window.partitionBy(*keys).orderBy(EF)
+    rows = rows.withColumns({"_inter": meets(~update, by), "_any": F.max("_update").over(whole(by))}).where("_any").drop("_any")
+    by = Window.partitionBy(*keys, HASH).orderBy(EF)
+    rows = rows.withColumns({"_known": meets(~update, by), "_beside": touches(~update, by), "_extended": touches(lone, by)})
+    rows = rows.where(~(update & F.col("_known")))
+    by = Window.partitionBy(*keys).orderBy(EF, *order, ET, HASH, AF)
+    rows = rows.withColumn("_hit", meets(update, by))
+    role = (
+        F.when(update, F.when(inter | F.col("_beside"), "U").otherwise("N"))
+        .when(F.col("_hit") | F.col("_extended"), "C").otherwise("K")
+    )
+    return rows.withColumn("_role", role).drop("_update", "_inter", "_known", "_beside", "_extended", "_hit")
+
+
+def changes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], batch: Column, end: Column) -> DataFrame:
+    """Of rows with roles, what expires and what is inserted, told apart by ``_change``, in one pass."""
+    role, carried = F.col("_role"), [HASH, "_row", *order]
+    by = Window.partitionBy(*keys).orderBy(EF, *order, ET, HASH, AF)
+    first = F.min(F.when(role == "U", F.struct(*order, EF, ET, HASH, AF))).over(whole(by))
+    start = F.when(role == "U", first_start(by, role == "U")).when(role == "C", first_start(by, role == "C")).otherwise(F.col(EF))
+    rows = rows.withColumns({"_first": first[AF], "_start": start}).where("_role <> 'K'")
+    live = F.col("_start") < F.col(ET)
+    by = Window.partitionBy(*keys).orderBy("_start")
+    rows = rows.withColumns({
+        "_next": next_start((role == "U") & live, by, "_start"),
+        "_covered": latest_end((role == "U") & live, by),
+        "_under": F.last(F.when((role == "C") & live, F.struct(ET, *carried)), ignorenulls=True).over(so_far(by)),
+    })
+
+    def row(change: str, a: Column, b: Column, known: Column, until: Column, source: str = "") -> Column:
+        return F.struct(
+            F.lit(change).alias("_change"), a.alias(EF), b.alias(ET), known.alias(AF), until.alias(AT), *(F.col(f"{source}{c}").alias(c) for c in carried)
+        )
+
+    # A current row leaves what lies between the updates before it and the next one; an update leaves, of the current
+    # row that goes on beyond it, what lies before the next one.
+    own = F.col("_start"), F.col(ET)
+    left = F.greatest("_start", "_covered"), F.least(ET, "_next")
+    beyond = F.col(ET), F.least(F.col(f"_under.{ET}"), F.col("_next"))
+    one = F.when(role == "C", row(EXPIRE, F.col(EF), F.col(ET), F.col(AF), batch)).when(live, row(INSERT, *own, F.col(AF), end))
+    two = F.when((role == "C") & live & (left[0] < left[1]), row(INSERT, *left, F.col("_first"), end)).when(
+        (role == "U") & live & (F.col(f"_under.{ET}") > F.col(ET)) & (beyond[0] < beyond[1]), row(INSERT, *beyond, F.col("_first"), end, "_under.")
     )
-    free = (F.col("_role") != "N") & (F.col("_next") > F.col("_t")) & ~F.coalesce(F.col("_covered") > F.col("_t"), F.lit(False)) & (F.col(f"_under.{ET}") > F.col("_t"))
-    changed = F.struct(*({EF: F.col("_t"), ET: F.col("_next"), AF: F.col("_first")}.get(c, F.col(f"_under.`{c}`")).alias(c) for c in kept))
-    out = F.when(begins("N") | begins("U"), F.col("_row")).when(free, changed)
-    made = events.select("_id", out.alias("_out")).where("_out is not null").select("_id", "_out.*").withColumn(AT, end)
-    made = conflate_inserts(distinct_segments(made, ["_id"], ["_ord", AF]), ["_id"], ["_ord"], HIDDEN)
-    return made.drop(*HIDDEN)
+    made = rows.select(*keys, F.inline(F.array(one, two))).where("_change is not null")
+    return merged(made, keys, order)
+
+
+def merged(made: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What is inserted, each range and hash once, with runs of equal rows made one; what expires as it is."""
+    keys, apart = [*keys, "_change"], F.col("_change") == EXPIRE
+    # without an order of its own a table is sorted once for both steps
+    made = distinct_segments(made, keys, [*order, AF], apart)
+    return conflate(made, keys, [HASH, "_row"], order or [HASH, AF], apart)
+
+
+def expired(rows: DataFrame, batch: Column) -> DataFrame:
+    return rows.where("_role = 'C'").withColumn(AT, batch).drop("_role")

@@ -7,34 +7,33 @@ the first.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolith.constants import AF, AT, EF, ET, HASH
-from chronolith.functions.intervals import conflate_inserts, distinct_segments, may_be_buried, prevents_merge
-
-HIDDEN = ("_id", "_ord")
+from chronolith.functions.intervals import may_be_buried, prevents_merge
+from chronolith.operators.delta import EXPIRE, INSERT, merged
 
 
-def classified(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Both tables, keyed, with what full state makes of each row.
+def classified(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Both tables, lean, with what full state makes of each row.
 
     ``_case`` of updates: 1a touches an equal row but stays apart, 1b merges with it, 2 is it, 3a lies within it,
-    3b starts with it and ends later, 3c is elsewhere, 4 has no equal row. ``_match``: (range, order)
+    3b starts with it and ends later, 3c is elsewhere, 4 has no equal row. ``_match``: (order, range)
     of that row. ``_expire`` of current rows; ``_absent``: no update has the id.
     """
     rows = current.withColumn("_update", F.lit(False)).unionByName(updates.withColumn("_update", F.lit(True)))
     update = F.col("_update")
-    over = lambda *key: Window.partitionBy("_id", *key)
-    own = F.when(~update, F.struct("_ord", EF, ET))
-    rows = rows.withColumns({
-        "_absent": ~F.max("_update").over(over()),
-        "_first": F.min(own).over(over(HASH)),
-        "_exact": F.min(own).over(over(HASH, EF, ET)),
-        "_left": F.max(own).over(over(HASH, F.when(update, F.col(EF)).otherwise(F.col(ET)))),
-        "_right": F.max(own).over(over(HASH, F.when(update, F.col(ET)).otherwise(F.col(EF)))),
-    })
+    over = lambda *key: Window.partitionBy(*keys, *key)
+    rows = rows.withColumn("_ord", F.struct(*order, EF, ET))
+    own = F.when(~update, F.col("_ord"))
+    # the longest key first, so that the next window finds its rows in order
+    rows = rows.withColumn("_exact", F.min(own).over(over(HASH, EF, ET))).withColumn("_first", F.min(own).over(over(HASH)))
+    rows = rows.withColumn("_at", F.when(update, F.col(EF)).otherwise(F.col(ET))).withColumn("_left", F.max(own).over(over(HASH, "_at")))
+    rows = rows.withColumn("_at", F.when(update, F.col(ET)).otherwise(F.col(EF))).withColumn("_right", F.max(own).over(over(HASH, "_at")))
     beside = F.greatest("_left", "_right")
     rows = rows.withColumn("_beside", beside).withColumn("_match", F.when(update, F.coalesce("_exact", beside, "_first")))
     start, stop = F.col(f"_match.{EF}"), F.col(f"_match.{ET}")
@@ -44,41 +43,50 @@ def classified(current: DataFrame, updates: DataFrame) -> DataFrame:
         .when((start <= F.col(EF)) & (stop >= F.col(ET)), "3a")
         .when((start == F.col(EF)) & (F.col(ET) > stop), "3b").otherwise("3c")
     )
-    rows = rows.withColumn("_case", case)
-    queued = F.min(F.when(F.col("_case").isin("1a", "3b", "3c", "4"), F.struct("_ord", "_case"))).over(over())
-    target = F.when(update, F.col("_match._ord")).otherwise(F.col("_ord"))
-    met = F.max(F.when(F.col("_case").isin("1b", "3b"), 1)).over(over(target))
-    rows = rows.withColumn("_expire", ~update & (F.coalesce(queued["_case"] == "4", F.lit(False)) | (F.coalesce(met, F.lit(0)) == 1)))
-    return rows.withColumn("_until", F.max(F.when(update, F.struct("_ord", ET))).over(over(EF))[ET]).drop("_first", "_exact", "_left", "_right", "_beside")
+    rows = rows.withColumn("_case", case).withColumn("_at", F.when(update, F.col("_match")).otherwise(F.col("_ord")))
+    rows = rows.withColumn("_met", F.max(F.when(F.col("_case").isin("1b", "3b"), 1)).over(over(HASH, "_at")))
+    rows = rows.withColumn("_until", F.max(F.when(update, F.struct("_ord", HASH, ET))).over(over(EF))[ET])
+    queued = F.min(F.when(F.col("_case").isin("1a", "3b", "3c", "4"), F.struct("_ord", HASH, "_case"))).over(over())
+    rows = rows.withColumns({"_queued": queued["_case"], "_absent": ~F.max("_update").over(over())})
+    rows = rows.withColumn("_expire", ~update & (F.coalesce(F.col("_queued") == "4", F.lit(False)) | (F.coalesce(F.col("_met"), F.lit(0)) == 1)))
+    return rows.drop("_exact", "_first", "_left", "_right", "_beside", "_at", "_met", "_queued", "_ord")
 
 
 WORKING = ("_update", "_absent", "_match", "_case", "_expire", "_until", "_stamp")
 
 
-def buried(rows: DataFrame, midnight: Column, strict: bool) -> Column:
+def buried(midnight: Column, strict: bool) -> Column:
     out = ~F.col("_update") & F.col("_absent") & may_be_buried(F.col(EF), midnight)
     return out & (F.col(ET) > midnight) if strict else out
 
 
-def expired(rows: DataFrame, midnight: Column, batch_timestamp: Column, strict: bool = False) -> DataFrame:
+def _gone(midnight: Column, strict: bool) -> Column:
+    return F.col("_expire") | buried(midnight, strict)
+
+
+def expired(rows: DataFrame, midnight: Column, batch: Column, strict: bool = False) -> DataFrame:
     """Rows replaced, with the end that their successor has, and rows that get a tombstone."""
-    gone = rows.where(F.col("_expire") | buried(rows, midnight, strict))
-    return gone.withColumn(ET, F.coalesce("_until", ET)).withColumn(AT, batch_timestamp).drop(*WORKING, *HIDDEN)
+    return rows.where(_gone(midnight, strict)).withColumn(ET, F.coalesce("_until", ET)).withColumn(AT, batch).drop(*WORKING)
 
 
 def tombstones(rows: DataFrame, midnight: Column, strict: bool = False) -> DataFrame:
-    return rows.where(buried(rows, midnight, strict)).withColumn(ET, midnight).withColumn(AF, F.col("_stamp")).drop(*WORKING, *HIDDEN)
+    return rows.where(buried(midnight, strict)).withColumn(ET, midnight).withColumn(AF, F.col("_stamp")).drop(*WORKING)
 
 
-def inserted(rows: DataFrame, midnight: Column, strict: bool = False) -> DataFrame:
-    """Updates that change something, merged rows and tombstones, conflated for each id."""
-    grave, merged = buried(rows, midnight, strict), F.coalesce(F.col("_case") == "1b", F.lit(False))
-    made = rows.where(grave | F.col("_case").isin("1a", "1b", "3b", "3c", "4"))
-    made = made.withColumn("_grave", grave).withColumn("_merged", merged).withColumns({
-        EF: F.when(F.col("_merged"), F.least(F.col(EF), F.col(f"_match.{EF}"))).otherwise(F.col(EF)),
-        ET: F.when(F.col("_grave"), midnight).when(F.col("_merged"), F.greatest(F.col(ET), F.col(f"_match.{ET}"))).otherwise(F.col(ET)),
-        AF: F.when(F.col("_grave") | F.col("_merged"), F.col("_stamp")).otherwise(F.col(AF)),
-    }).drop(*WORKING, "_grave", "_merged")
-    return conflate_inserts(distinct_segments(made, ["_id"], ["_ord", AF]), ["_id"], ["_ord"], HIDDEN).drop(*HIDDEN)
+def changes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], midnight: Column, batch: Column, strict: bool = False) -> DataFrame:
+    """What expires and what is inserted, told apart by ``_change``: updates that change something, merged rows and tombstones."""
+    carried, merges = [HASH, "_row", *order], F.coalesce(F.col("_case") == "1b", F.lit(False))
 
+    def row(change: str, a: Column, b: Column, known: Column, until: Column) -> Column:
+        return F.struct(F.lit(change).alias("_change"), a.alias(EF), b.alias(ET), known.alias(AF), until.alias(AT), *carried)
 
+    own = [F.col(c) for c in (EF, ET, AF, AT)]
+    joined = F.least(EF, f"_match.{EF}"), F.greatest(ET, f"_match.{ET}")
+    one = F.when(_gone(midnight, strict), row(EXPIRE, own[0], F.coalesce("_until", ET), own[2], batch))
+    two = (
+        F.when(buried(midnight, strict), row(INSERT, own[0], midnight, F.col("_stamp"), own[3]))
+        .when(merges, row(INSERT, *joined, F.col("_stamp"), own[3]))
+        .when(F.col("_case").isin("1a", "3b", "3c", "4"), row(INSERT, *own))
+    )
+    made = rows.select(*keys, F.inline(F.array(one, two))).where("_change is not null")
+    return merged(made, keys, order)

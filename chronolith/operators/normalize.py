@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.constants import AT, ET, HASH, INFINITY, INPUT_LIMIT, OUTPUT_LIMIT, TEMPORAL
+from chronolith.constants import AT, EF, ET, HASH, INFINITY, INPUT_LIMIT, OUTPUT_LIMIT, TEMPORAL
+from chronolith.functions.jvm import WIDE, apart
 
 SUPPORTED = (
     T.StringType, T.VarcharType, T.CharType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -46,10 +47,11 @@ def normalize_temporal(df: DataFrame, kinds: dict[str, str] | None = None) -> Da
     return df.withColumns(out)
 
 
-def restore_infinity(df: DataFrame) -> DataFrame:
-    """The end of time, in the two end columns of a result, is one instant."""
+def restore_infinity(df: DataFrame, of: Column | None = None) -> DataFrame:
+    """The end of time, in the two end columns of a result, is one instant; of the rows for which ``of`` holds, or all."""
     kinds = temporal_types(df)
-    return df.withColumns({c: F.when(F.col(c).isNull() | (F.col(c) >= instant(OUTPUT_LIMIT, kinds[c])), instant(INFINITY, kinds[c])).otherwise(F.col(c)) for c in (ET, AT)})
+    far = {c: F.col(c).isNull() | (F.col(c) >= instant(OUTPUT_LIMIT, kinds[c])) for c in (ET, AT)}
+    return df.withColumns({c: F.when(f if of is None else f & of, instant(INFINITY, kinds[c])).otherwise(F.col(c)) for c, f in far.items()})
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
@@ -96,10 +98,21 @@ def check(df: DataFrame, id_columns: Sequence[str], value_columns: Sequence[str]
             raise ValueError(f"column {c} has the unsupported type {df.schema[c].dataType.simpleString()}")
 
 
-def keyed(df: DataFrame, id_columns: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
-    """df with ``_id``, all id columns in one value that is never null, and ``_ord``, what input order means.
+def lean(df: DataFrame, id_columns: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """df as the change sets take it: ids ``_k0``.., times, hash, ``_row`` with all else, ``_o`` with what input order means.
 
     Without ``order_by`` rows count in the order of their range and hash, which a retried task gives again.
     """
-    last = [F.col(f"`{c}`") for c in (*order_by, *TEMPORAL[:2], HASH)]
-    return df.withColumn("_id", F.struct(*(F.col(f"`{c}`") for c in id_columns))).withColumn("_ord", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(last))))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (*id_columns, *TEMPORAL, HASH, *order_by)]
+    ids = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(id_columns)]
+    held = [F.struct(*(F.col(f"`{c}`") for c in order_by)).alias("_o")] if order_by else []
+    return df.select(*ids, *TEMPORAL, HASH, F.struct(*(rest or [F.lit(0).alias("_none")])).alias("_row"), *held)
+
+
+def unfolded(df: DataFrame, names: Sequence[str], id_columns: Sequence[str], *more: Column | str) -> DataFrame:
+    """A lean table with its columns as they were, in the order of ``names``."""
+    ids = list(id_columns)
+    own = [F.col(f"_k{ids.index(c)}").alias(c) if c in ids else F.col(c) if c in (*TEMPORAL, HASH) else F.col(f"_row.`{c}`").alias(c) for c in names]
+    if len(names) > WIDE:
+        own[names.index(EF)] = apart(F.col(EF), F.col(EF)).alias(EF)
+    return df.select(*own, *more)

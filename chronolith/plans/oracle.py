@@ -77,7 +77,36 @@ SELECT {cols}, min(effective_from) AS effective_from, max(effective_to) AS effec
 FROM (SELECT *, sum(brk) OVER (PARTITION BY {key} ORDER BY {order}) AS run FROM
   (SELECT *, CASE WHEN lag(effective_to) OVER w = effective_from AND {same} THEN 0 ELSE 1 END AS brk FROM ev WINDOW w AS (PARTITION BY {key} ORDER BY {order})))
 GROUP BY {cols}, run"""
-LE = lambda e: "unhex(" + " || ".join(f"substr(printf('%016X', {e}), {15 - 2 * k}, 2)" for k in range(8)) + ")"
+LE = lambda e, size=8: "unhex(" + " || ".join(f"substr(printf('%016X', {e}), {15 - 2 * k}, 2)" for k in range(size)) + ")"
+
+#: The five primes of XXH64 (fixed values).
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_times = lambda x, y: f"((({x})::UHUGEINT * ({y})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+_plus = lambda x, y: f"((({x})::UHUGEINT + ({y})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+_turned = lambda x, k: f"({_times(x, 2**k)} | (({x}) >> {64 - k}))"
+
+
+def xxh64(table: str, lanes: list[str], single: list[str]) -> str:
+    """SQL for the rows of a table with ``h``: XXH64 (seed 0) of a payload of fewer than 32 bytes, given as longs and then bytes."""
+    out = f"SELECT *, {P5 + 8 * len(lanes) + len(single)}::UBIGINT AS h FROM {table}"
+    for lane in lanes:
+        out = f"SELECT * REPLACE ({_times(f'({lane})::UBIGINT', P2)} AS h), h AS kept FROM ({out})"
+        out = f"SELECT * EXCLUDE (kept) REPLACE (xor(kept, {_times(_turned('h', 31), P1)}) AS h) FROM ({out})"
+        out = f"SELECT * REPLACE ({_plus(_times(_turned('h', 27), P1), P4)} AS h) FROM ({out})"
+    for byte in single:
+        out = f"SELECT * REPLACE (xor(h, {_times(f'({byte})::UBIGINT', P5)}) AS h) FROM ({out})"
+        out = f"SELECT * REPLACE ({_times(_turned('h', 11), P1)} AS h) FROM ({out})"
+    for shift, prime in ((33, P2), (29, P3)):
+        out = f"SELECT * REPLACE ({_times(f'xor(h, h >> {shift})', prime)} AS h) FROM ({out})"
+    return f"SELECT * REPLACE (xor(h, h >> 32) AS h) FROM ({out})"
+
+
+#: The bits of a positive double that is no whole number, by its exponent and what is left of it.
+_power = "CASE WHEN x / pow(2.0, e) >= 2 THEN e + 1 WHEN x / pow(2.0, e) < 1 THEN e - 1 ELSE e END"
+TYPED = f"""
+a AS (SELECT *, l_extendedprice AS x, floor(log2(greatest(l_extendedprice, 1e-9)))::BIGINT AS e FROM lineitem),
+b AS (SELECT * REPLACE ({_power} AS e) FROM a),
+c AS (SELECT *, CASE WHEN x = floor(x) THEN x::BIGINT ELSE (e + 1023) * 4503599627370496 + ((x / pow(2.0, e) - 1) * 4503599627370496)::BIGINT END AS bits FROM b)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -92,6 +121,8 @@ def oracle_sql() -> dict[str, str]:
         "normalize_infinity": f"{base} SELECT o_custkey, o_orderstatus, o_totalprice, effective_from, CASE WHEN o_custkey % 3 < 2 THEN {INF} ELSE effective_to END AS effective_to, as_of_from, {INF} AS as_of_to FROM cur",
         "validate_and_align": f"{base} SELECT {COLS} FROM raw",
         "hash_sha256_values": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 2 = 0 AS even, sha256({LE('o_orderkey')} || {LE('o_custkey')} || encode(o_orderstatus) || CASE WHEN o_orderkey % 2 = 0 THEN '\\x01'::BLOB ELSE '\\x00'::BLOB END) AS value_hash FROM orders",
+        "hash_xxh64_values": f"SELECT o_orderkey, o_custkey, o_orderstatus, even, printf('%016x', h) AS value_hash FROM ({xxh64('(SELECT *, o_orderkey % 2 = 0 AS even FROM orders)', ['o_orderkey', 'o_custkey'], ['ascii(o_orderstatus)', 'even::INT'])})",
+        "hash_typed_values": f"WITH {TYPED} SELECT l_orderkey, l_linenumber, sha256({LE('l_quantity::BIGINT')} || {LE('bits')} || {LE('(l_shipdate::DATE - DATE \'1970-01-01\')::BIGINT', 4)} || {LE('epoch_us(l_shipdate)')} || {LE('round(l_tax * 100)::BIGINT')} || {LE('0::BIGINT')} || CASE WHEN l_linenumber = 3 THEN 'NULL'::BLOB ELSE {LE('l_linenumber::BIGINT')} END || 'NULL'::BLOB) AS value_hash FROM c",
         "no_change_updates": f"{plain} SELECT {COLS} FROM upd u WHERE EXISTS (SELECT 1 FROM cur c WHERE {SAME} AND {MEET})",
         "overlap_pairs": f"{plain} SELECT c.o_custkey, c.o_orderkey AS first_key, u.o_orderkey AS second_key FROM upd c JOIN upd u ON c.o_custkey = u.o_custkey AND c.o_orderkey < u.o_orderkey AND {MEET}",
         "adjacent_pairs": f"WITH {EVENTS} SELECT a.user_id, a.event_type, a.bucket, a.effective_from, b.effective_from AS next_from FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.bucket = b.bucket AND a.effective_to = b.effective_from",

@@ -11,11 +11,11 @@ from pyspark.sql.window import Window
 from chronolith.constants import EF, ET, HASH
 from chronolith.engine import ChangeSet, compute_changes, prepare
 from chronolith.functions.hashing import with_value_hash
-from chronolith.functions.intervals import conflate, conflate_updates, distinct_segments, elementary_segments, first_started, open_ended, prevents_merge
+from chronolith.functions.intervals import adjacent, conflate, conflate_updates, distinct_segments, elementary_segments, first_started, intersects, meets, open_ended, prevents_merge
 from chronolith.operators import delta, full_state
-from chronolith.operators.apply import apply_changes, as_of
-from chronolith.operators.normalize import align, instant, normalize_temporal, restore_infinity, validate_schema
-from chronolith.plans.fixtures import BATCH, IDS, SYSTEM_DATE, VALUES, current_state, event_runs, update_batch
+from chronolith.operators.apply import apply_change_set, as_of
+from chronolith.operators.normalize import align, instant, normalize_temporal, restore_infinity, unfolded, validate_schema
+from chronolith.plans.fixtures import BATCH, IDS, KNOWN_NOW, SYSTEM_DATE, VALUES, current_state, event_runs, update_batch
 from chronolith.plans.oracle import oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,25 +57,35 @@ def hash_values(name: str) -> Query:
     return run
 
 
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = prepared(spark, sf_dir)
-    return delta.categorized(got.current, got.updates)
+def hash_typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole and broken doubles, a date, a timestamp, a decimal, an int with nulls, and nothing but null."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("date").alias("day"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"),
+        F.col("l_tax").cast("decimal(10,2)").alias("tax"), F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("line"), F.lit(None).alias("none"),
+    )
+    return with_value_hash(rows, ["l_quantity", "l_extendedprice", "day", "at", "tax", "line", "none"], "sha256").select("l_orderkey", "l_linenumber", HASH)
+
+
+def plain(df: DataFrame, got, *more) -> DataFrame:
+    return unfolded(df, [c for c in got.names if c in OUT], IDS, *more)
 
 
 def categorize_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles(spark, sf_dir).where("_role in ('U', 'N')").select(*OUT, F.when(F.col("_role") == "U", "overlapping").otherwise("alone").alias("category"))
+    got = prepared(spark, sf_dir)
+    rows = delta.roles(got.current, got.updates, got.keys, got.order).where("_role in ('U', 'N')")
+    return plain(rows, got, F.when(F.col("_role") == "U", "overlapping").otherwise("alone").alias("category"))
 
 
 def affected_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles(spark, sf_dir).where("_role = 'C'").select(*OUT)
+    got = prepared(spark, sf_dir)
+    return plain(delta.roles(got.current, got.updates, got.keys, got.order).where("_role = 'C'"), got)
 
 
 def no_change_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = prepared(spark, sf_dir)
-    from chronolith.functions.intervals import meets
-
     both = got.current.withColumn("u", F.lit(False)).unionByName(got.updates.withColumn("u", F.lit(True)))
-    return both.withColumn("known", meets(F.col("u"), ["_id", HASH])).where("known").select(*OUT)
+    by = Window.partitionBy(*got.keys, HASH).orderBy(EF)
+    return plain(both.withColumn("known", F.col("u") & meets(~F.col("u"), by)).where("known"), got)
 
 
 def pairs(touching: bool) -> Query:
@@ -87,13 +97,13 @@ def pairs(touching: bool) -> Query:
             rows = event_runs(spark, sf_dir)
             by = Window.partitionBy("user_id", "event_type", "bucket").orderBy(EF)
             rows = rows.withColumn("next_from", F.lead(EF).over(by))
-            return rows.where(F.col("next_from") == F.col(ET)).select("user_id", "event_type", "bucket", EF, "next_from")
+            return rows.where(adjacent(F.col(EF), F.col(ET), F.col("next_from"), F.lit(None))).select("user_id", "event_type", "bucket", EF, "next_from")
         # a range of times is cut into days' bins, so that the join is on keys and not on all of an id
         day = lambda c: F.unix_date(F.col(c).cast("date"))
         bins = F.explode(F.sequence(F.floor(day(EF) / 60), F.floor((day(ET) - 1) / 60)))
         left = updates.select("o_custkey", F.col("o_orderkey").alias("first_key"), F.col(EF).alias("f1"), F.col(ET).alias("t1")).withColumn("bin", F.explode(F.sequence(F.floor(day("f1") / 60), F.floor((day("t1") - 1) / 60))))
         right = updates.select("o_custkey", F.col("o_orderkey").alias("second_key"), EF, ET).withColumn("bin", bins)
-        met = left.join(right, ["o_custkey", "bin"]).where((F.col("first_key") < F.col("second_key")) & (F.col("f1") < F.col(ET)) & (F.col("t1") > F.col(EF)))
+        met = left.join(right, ["o_custkey", "bin"]).where((F.col("first_key") < F.col("second_key")) & intersects(F.col("f1"), F.col("t1"), F.col(EF), F.col(ET)))
         # a pair is told in the bin where its overlap starts
         met = met.where(F.col("bin") == F.floor(F.unix_date(F.greatest("f1", EF).cast("date")) / 60))
         return met.select("o_custkey", "first_key", "second_key")
@@ -129,17 +139,15 @@ def open_ended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", EF, open_ended(F.col(ET)).alias("is_open"), prevents_merge(F.col(ET), F.lit("2260-12-31 23:59:59").cast("timestamp_ntz")).alias("stays_apart"))
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = prepared(spark, sf_dir)
-    return full_state.classified(got.current, got.updates)
-
-
 def full_state_case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).where("_update").groupBy(F.col("_case").alias("case")).agg(F.count("*").alias("n"))
+    got = prepared(spark, sf_dir)
+    return full_state.classified(got.current, got.updates, got.keys, got.order).where("_update").groupBy(F.col("_case").alias("case")).agg(F.count("*").alias("n"))
 
 
 def full_state_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_state.tombstones(classified(spark, sf_dir).withColumn("_stamp", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")), F.lit(MIDNIGHT).cast("timestamp_ntz")).select(*OUT)
+    got = prepared(spark, sf_dir)
+    rows = full_state.classified(got.current, got.updates, got.keys, got.order).withColumn("_stamp", instant(KNOWN_NOW))
+    return plain(full_state.tombstones(rows, F.lit(MIDNIGHT).cast("timestamp_ntz")), got)
 
 
 def part_of(mode: str, part: str, conflated: bool = False) -> Query:
@@ -147,8 +155,7 @@ def part_of(mode: str, part: str, conflated: bool = False) -> Query:
 
 
 def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = changes(spark, sf_dir, "delta")
-    return apply_changes(current_state(spark, sf_dir), got.expire, got.insert, IDS).select(*OUT)
+    return apply_change_set(current_state(spark, sf_dir), changes(spark, sf_dir, "delta"), IDS).select(*OUT)
 
 
 def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +165,7 @@ def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "normalize_infinity": normalize_infinity, "validate_and_align": validate_and_align,
-        "hash_sha256_values": hash_values("sha256"), "hash_xxh64_values": hash_values("xxhash"),
+        "hash_sha256_values": hash_values("sha256"), "hash_xxh64_values": hash_values("xxhash"), "hash_typed_values": hash_typed_values,
         "no_change_updates": no_change_updates, "overlap_pairs": pairs(False), "adjacent_pairs": pairs(True),
         "affected_current": affected_current, "categorize_updates": categorize_updates,
         "elementary_segments": elementary, "segment_winner": segment_winner,

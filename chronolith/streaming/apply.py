@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from chronolith.engine import compute_changes
-from chronolith.operators.apply import apply_changes
+from chronolith.operators.apply import apply_change_set
 
 
 def maintain(
@@ -24,6 +24,6 @@ def maintain(
     def step(batch: DataFrame, number: int) -> None:
         current = load(batch.sparkSession)
         changes = compute_changes(current, batch, id_columns, value_columns, **options)
-        store(apply_changes(current, changes.expire, changes.insert, id_columns), number)
+        store(apply_change_set(current, changes, id_columns), number)
 
     return updates.writeStream.foreachBatch(step)
