@@ -270,31 +270,39 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+#: What names a payload: its length and two digests.
+PAYLOAD = ("n", "a", "b")
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """``page_id, url, body`` and PAYLOAD of every row."""
+    body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    rows = pages.select("page_id", "url", body.alias("body"))
+    return rows.select("*", F.octet_length("body").alias("n"), F.sha1("body").alias("a"), F.xxhash64("body").alias("b"))
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, refers_to`` of the pages that are revisits.
+    """``page_id``, PAYLOAD and ``refers_to`` of what is a revisit, each once.
 
     Of equal payloads of ``REVISIT_LEAST`` bytes or more the largest page_id is the response. Only
     digests meet, never payloads; equality of payloads is that of their length and two digests.
     """
-    body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", F.octet_length(body).alias("n"), F.sha1(body).alias("a"), F.xxhash64(body).alias("b"))
-    rows = rows.where(F.col("n") >= REVISIT_LEAST)
-    groups = rows.groupBy("n", "a", "b").agg(F.count("*").alias("k"), F.max("page_id").alias("refers_to")).where("k > 1").drop("k")
-    return rows.join(groups, ["n", "a", "b"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    rows = _named(pages).select("page_id", *PAYLOAD).where(F.col("n") >= REVISIT_LEAST)
+    groups = rows.groupBy(*PAYLOAD).agg(F.count("*").alias("k"), F.max("page_id").alias("refers_to")).where("k > 1").drop("k")
+    return rows.distinct().join(groups, list(PAYLOAD)).where("page_id <> refers_to").select("page_id", *PAYLOAD, "refers_to")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """A record for each row of pages, into archives at ``path``.
 
-    Null html is an empty payload. A null page_id is never a revisit. Repeated rows each give a record, all of
-    the type that their page_id has. Line breaks in an url are escaped.
+    Null html is an empty payload. A null page_id is never a revisit. A page_id may have several rows, alike or not: each gives
+    a record, judged by its own payload; equal payloads under the largest page_id are all responses. Line breaks in an url are escaped.
     """
     spark = pages.sparkSession
     register(spark)
     of = cut(revisits(pages))
-    body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    rows = pages.select("page_id", "url", body.alias("body")).join(of, "page_id", "left")
+    rows = _named(pages).join(of, ["page_id", *PAYLOAD], "left")
     again = F.col("refers_to").isNotNull()
     rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -302,8 +310,8 @@ def write_pages(pages: DataFrame, path: str) -> None:
         F.coalesce("url", F.lit("")).alias("target_uri"),
         F.lit("2000-01-01T00:00:00Z").alias("date"),
         F.when(again, urn(F.col("refers_to"))).alias("refers_to"),
-        F.sha1("body").alias("payload_digest"),
-        F.octet_length("body").cast("bigint").alias("payload_length"),
+        F.col("a").alias("payload_digest"),
+        F.col("n").cast("bigint").alias("payload_length"),
         F.when(~again, F.col("body")).alias("payload"),
     ).write.format("warc").mode("append").save(path)
 

@@ -252,6 +252,17 @@ def test_warc(spark, tmp_path):
         again = html == big and i == 1
         want.add((i, "revisit" if again else "response", 2 if again else None, len(raw), hashlib.sha1(raw).hexdigest()))
     assert got == want
+    # a page_id may have several rows, with other payloads and urls
+    bodies = [big, big + "y", "short", None, "x" * 999, "x" * 1000, "z" * 1000]
+    many = [(rng.choice([None, *range(6)]), f"u{i}", rng.choice(bodies)) for i in range(120)]
+    out = rows(warc.round_trip(spark.createDataFrame(many, pages.schema).repartition(5)), "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    want = []
+    for i, _, html in many:
+        raw = (html or "").encode()
+        top = max((j for j, _, h in many if h == html and j is not None), default=None) if len(raw) >= 1000 else None
+        again = i is not None and top is not None and top != i
+        want.append([i, "revisit" if again else "response", top if again else None, len(raw), hashlib.sha1(raw).hexdigest()])
+    assert out == sorted(want, key=repr)
     warc.write_pages(pages, str(tmp_path / "w"))
     heads = warc.read_pages(spark, str(tmp_path / "w"), payload=False)
     assert heads.where("payload is not null").count() == 0 and heads.where("record_type = 'revisit'").count() == 1
