@@ -54,6 +54,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_scan(table(spark, sf_dir, "documents"))
 
 
+def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan over known licences printed in several ways, as documents hold none of them whole."""
+    return licences.license_scan(licences.variants(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = gam.quality_scores(docs.select("doc_id", "text"), gam.train(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_simhash, op2_lm_score, op3_warc, op4_quality_rules, op5_line_dedup, op6_decontaminate, op7_pii,
-        op8_pack, op9_license_scan, op10_quality_classifier,
+        op8_pack, op9_license_scan, op10_quality_classifier, license_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -112,4 +117,4 @@ FROM r JOIN documents USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op9_license_scan": licences.oracle()}
+    return {"op3_warc": OP3, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op9_license_scan": licences.oracle(), "license_variants": licences.variants_oracle()}

@@ -1,6 +1,7 @@
 """Each operator against plain loops on a small table with every odd case."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -478,6 +479,18 @@ def test_licences(spark, docs, none):
     df = spark.createDataFrame([(1, text), (2, odd), (3, text + " more"), (4, None), (5, " \n")], "doc_id long, text string")
     assert {r.doc_id: r.license_id for r in licences.license_scan(df).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
     assert licences.license_scan(docs).where("license_id is not null").count() == 1
+    near = spark.createDataFrame([(1, "licence licence Licence per cent per cent"), (2, "license LICENSE license percent percent")], "doc_id long, text string")
+    assert licences.license_scan(near).select("canonical_sha256").distinct().count() == 1
+    some = spark.createDataFrame([(i, None if i == 7 else "x") for i in range(len(licences.KNOWN) * 5)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licences.license_scan(licences.variants(some)).collect()}
+    assert found == {i: sorted(licences.KNOWN)[i % len(licences.KNOWN)] if i % 5 < 3 else None for i in found} and len(found) == some.count()
+    given = spark.createDataFrame([("b", "x y", None), ("a", "X, y.", None), ("c", None, hashlib.sha256(b"q r").hexdigest()), ("d", " ", None)], "license_id string, text string, canonical_sha256 string")
+    mine = spark.createDataFrame([(1, "x-y"), (2, "Q\nR"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licences.license_scan(mine, given).collect()} == {1: "a", 2: "c", 3: None}
+    whole = pathlib.Path("/usr/share/common-licenses")
+    if whole.is_dir():
+        texts = [(1, (whole / "Apache-2.0").read_text()), (2, (whole / "GPL-3").read_text().upper()), (3, "Copyright 2020 me\n" + (whole / "MPL-2.0").read_text())]
+        assert {r.doc_id: r.license_id for r in licences.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {1: "Apache-2.0", 2: "GPL-3.0", 3: "MPL-2.0"}
     assert licences.license_scan(none).count() == 0
 
 
