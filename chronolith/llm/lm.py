@@ -1,22 +1,14 @@
-"""Language-model scores by Stupid Backoff over n-grams of words (`word_scores`) or of bytes (`lm_scores`).
+"""Language-model scores by Stupid Backoff over n-grams of words, counted over the whole corpus.
 
-The byte model, computed relationally:
+The relations are the usual ones: the n-grams of every text, exploded; a count table partitioned by their hash;
+a join that gives each n-gram its count; a sum for each text. Their rows are packed. Texts are dealt into
+blocks by hash. A block explodes into its distinct n-grams and their counts, one row for each bucket of
+hashes, so an n-gram in every text is one number for each block. A bucket is the part of the count table with
+its hashes: it adds the counts up and sends each block the totals of its n-grams, in their order. Back
+in its block a text's words are scored and summed.
 
-The letters are UTF-8 bytes (A-Z lowered, runs of ASCII white space as one blank), each text led by
-``order - 1`` start marks, so every language and script is covered and an n-gram is a number. The count
-table has a row for each n-gram of the whole corpus; tables of lower orders are sums of it. A highest-order
-n-gram's score is its count by its context's if counted ``least`` times or more, else ``BACKOFF`` times the
-score of the n-gram one shorter, down to the byte's share of the corpus.
-
-The exploded n-grams are kept as postings: one row for each n-gram and block of rows, with the block's
-texts that hold it. Each (n-gram, block) meets the score table by hash of the n-gram and goes back to its
-block, where the texts are summed; an n-gram in every text is thus a row for each block, and no key
-gathers more.
-
-The word model counts n-grams of one to ``WORD_ORDER`` words under 64-bit keys; its table grows with the corpus.
-Texts are put in blocks, a row each. A block sends its distinct keys and their counts, dealt by the keys'
-leading bits into buckets, a row for each block and bucket, so a common n-gram is one number for each
-block; a bucket adds the counts up and sends each block the totals of its keys, in their order.
+Blocks and buckets are as many; their size grows with the square root of the corpus once it is large, so that a
+row keeps at least ``ROW_KEYS`` n-grams or so and the packed rows stay in proportion to the text.
 """
 
 from __future__ import annotations
@@ -26,140 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import give_back, lean, ship, utf8, written
+from chronolith.llm.common import give_back, lean, ship, utf8
 
-ORDER, LEAST, BACKOFF = 3, 5, 0.4
-#: Texts and bytes of a block, at most (a longer text is a block of its own).
-BLOCK_ROWS, BLOCK_BYTES, START = 2048, 4_000_000, 2
-#: Words of an n-gram, and bytes of a block and of a bucket's share of the input.
-WORD_ORDER, WORD_BYTES = 3, 2_000_000
+BACKOFF, WORD_ORDER, START = 0.4, 3, 2
+#: Bytes of text of a block and of a bucket's share, at least; n-grams of a packed row, at least; bytes that a task deals at once.
+WORD_BYTES, ROW_KEYS, DEAL_BYTES = 4_000_000, 64, 16_000_000
 #: Characters of scripts written without blanks (Thai to Burmese, and from the CJK radicals on) are words each.
 _SINGLE = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e-\x9f][\x80-\xbf]|[\xe3-\xed\xef][\x80-\xbf]{2}|\xe2[\xba-\xbf][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == START else c for c in range(256))
-
-
-def grams(text: bytes | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as numbers, and how often each occurs; null and blank texts have none."""
-    text = b" ".join(text.split()).translate(_LOWER) if text else b""
-    if not text:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    raw = np.frombuffer(bytes([START]) * (order - 1) + text, np.uint8).astype(np.uint32)
-    n = len(text)
-    number = np.zeros(n, np.uint32)
-    for k in range(order):
-        number = number << np.uint32(8) | raw[k : k + n]
-    number.sort()
-    new = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    return number[new], np.diff(np.r_[new, n])
-
-
-def _postings(docs: DataFrame, order: int) -> DataFrame:
-    """``gram, block, n, texts, times`` and, under gram -1, each block's ids in ``ids``."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
-
-    def posted(ids: pa.Array, texts: list[bytes | None], block: int) -> Iterator[pa.RecordBatch]:
-        found = [grams(t, order) for t in texts]
-        gram = np.concatenate([g for g, _ in found])
-        times = np.concatenate([k for _, k in found])
-        at = np.repeat(np.arange(len(texts)), [len(g) for g, _ in found])
-        sort = np.argsort(gram, kind="stable")
-        gram, times, at = gram[sort], times[sort], at[sort]
-        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-        cuts = np.r_[new, len(gram)]
-        n = len(new)
-        total = np.add.reduceat(times, new) if n else np.zeros(0, np.int64)
-        own = pa.ListArray.from_arrays(pa.array(np.array([0, len(ids)]), pa.int32()), ids)
-        head = [pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int32())), own]
-        yield pa.RecordBatch.from_arrays(head, names=names)
-        for a in range(0, n, 50_000):
-            b = min(a + 50_000, n)
-            part = cuts[a : b + 1] - cuts[a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[new[a:b]], pa.int64()), pa.array(np.full(b - a, block), pa.int64()), pa.array(total[a:b], pa.int64()),
-                 lists(at[cuts[a] : cuts[b]], part), lists(times[cuts[a] : cuts[b]], part), pa.nulls(b - a, pa.list_(ids.type))],
-                names=names,
-            )
-
-    names = ["gram", "block", "n", "texts", "times", "ids"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                if i > start and (i - start >= BLOCK_ROWS or size + len(t or b"") > BLOCK_BYTES):
-                    yield from posted(batch.column(0).slice(start, i - start), texts[start:i], block)
-                    block, start, size = block + 1, i, 0
-                size += len(t or b"")
-            if texts:
-                yield from posted(batch.column(0).slice(start), texts[start:], block)
-                block += 1
-
-    return rows.mapInArrow(scan, f"gram bigint, block bigint, n bigint, texts array<int>, times array<int>, ids array<{kind}>")
-
-
-def score_table(counts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """``gram, log_score`` of every highest-order n-gram, from ``gram, n``."""
-    tables = {order: counts.select("gram", "n")}
-    for k in range(order - 1, 0, -1):
-        # the last k bytes: how often they follow anything, start marks included
-        tables[k] = tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    context = {k: tables[k].groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("m")) for k in range(2, order + 1)}
-    whole = tables[1].agg(F.sum("n").alias("whole"))
-    score = tables[1].join(F.broadcast(whole)).select("gram", (F.col("n") / F.col("whole")).alias("score"))
-    for k in range(2, order + 1):
-        low = score.select(F.col("gram").alias("low"), F.col("score").alias("less"))
-        rows = tables[k].withColumn("context", F.shiftright("gram", 8)).withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-        rows = rows.join(context[k], "context").join(low, "low")
-        score = rows.select("gram", F.when(F.col("n") >= least, F.col("n") / F.col("m")).otherwise(BACKOFF * F.col("less")).alias("score"))
-    return score.select("gram", F.log("score").alias("log_score"))
-
-
-def _sums(posts: pa.Table, scores: pa.Table) -> pa.Table:
-    """The sums of one block's texts."""
-    posts, scores = posts.combine_chunks(), scores.combine_chunks()
-    gram = posts.column("gram").to_numpy()
-    ids = posts.column("ids").filter(pa.array(gram < 0)).combine_chunks().flatten()
-    held = posts.filter(pa.array(gram >= 0)).combine_chunks()
-    known = scores.column("of").to_numpy()
-    order = np.argsort(known)
-    score = scores.column("log_score").to_numpy()[order[np.searchsorted(known, held.column("gram").to_numpy(), sorter=order)]]
-    texts, times = held.column("texts").combine_chunks(), held.column("times").combine_chunks().flatten().to_numpy()
-    each = np.repeat(score, texts.value_lengths().to_numpy())
-    at = texts.flatten().to_numpy()
-    total = np.bincount(at, times * each, len(ids))
-    n = np.bincount(at, times, len(ids)).astype(np.int64)
-    mean = pa.array(np.round(total / np.maximum(n, 1), 9), mask=n == 0)
-    return pa.Table.from_arrays([ids, pa.array(n), pa.array(np.round(total, 6)), mean], names=["doc_id", "n_grams", "log_prob", "mean_log_prob"])
-
-
-def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """``doc_id, n_grams, log_prob, mean_log_prob`` of every whole text, under the counts of all of docs.
-
-    log_prob: the sum of the natural logarithms of its n-grams' scores; mean: by their number, null for
-    texts without any (null, empty and blank ones, whose sum is 0). Repeated rows each count and each give a
-    row; an empty table gives none.
-    """
-    ship(docs.sparkSession)
-    posts = written(_postings(docs, order), "postings")
-    counts = written(posts.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    scores = written(score_table(counts, order, least), "scores")
-    # narrow rows meet the scores by gram, and go back to their blocks, where texts are summed whole
-    met = posts.where("gram >= 0").select("gram", F.col("block").alias("to")).join(scores.hint("merge"), "gram").select("to", F.col("gram").alias("of"), "log_score")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = posts.select("block", "gram", "texts", "times", "ids").groupBy("block").cogroup(met.groupBy("to"))
-    return out.applyInArrow(_sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")
 
 
 class _Hashes(dict):
@@ -182,7 +52,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _keyed(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def key_bits(n: int) -> int:
+    """Bits of a key of one of n n-grams: so many that less than one clash is to be expected among all, 64 at most."""
+    return min(64, max(32, 2 * max(n, 1).bit_length()))
+
+
+def _keyed(texts: list[bytes | None], order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """A block's tokens: their text, whether a word, the key of the k-gram that ends at each, and whether that is one.
 
     A text with words is led by ``order - 1`` start marks, and the k-grams of marks alone are counted once a
@@ -201,66 +76,74 @@ def _keyed(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
     token[word] = np.concatenate(found)
     token[~word] = START
     keys, valid = [], []
-    key = _mixed(token + np.uint64(1))
+    key, drop = _mixed(token + np.uint64(1)), np.uint64(64 - bits)
     for k in range(1, order + 1):
         if k > 1:
-            before = np.r_[np.zeros(min(1, len(key)), np.uint64), keys[-1][:-1]]
+            before = np.r_[np.zeros(min(1, len(key)), np.uint64), key[:-1]]
             key = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(k))
-        keys.append(key)
+        keys.append(key >> drop)
         valid.append(word | ((at == lead - 1) & (k < order)))
     return text, word, keys, valid
 
 
 def _table(keys: list[np.ndarray], valid: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct keys in order and their counts; key 0 counts the words."""
-    got = np.sort(np.concatenate([k[v] for k, v in zip(keys, valid)]))
+    got = np.concatenate([k[v] for k, v in zip(keys, valid)])
+    got.sort()
     new = np.flatnonzero(np.r_[True, got[1:] != got[:-1]]) if len(got) else np.zeros(0, np.int64)
     return np.r_[np.uint64(0), got[new]], np.r_[np.int64(word.sum()), np.diff(np.r_[new, len(got)])]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, so that the empty leading bytes of small ones compress."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes and so on, without the leading bytes that all lack."""
+    wide = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return x.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
 
-def _unplaned(x: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    wide = len(x) // max(n, 1)
+    out[:, :wide] = np.frombuffer(x, np.uint8).reshape(wide, n).T
+    return out.reshape(-1).view(np.uint64)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """``block, ids, texts, size``: docs in blocks, a row each."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _marked(x: np.ndarray, usual: np.ndarray | int) -> tuple[bytes, bytes]:
+    """Numbers that mostly are what is usual: a bit for each, and those that are not."""
+    other = x != usual
+    return np.packbits(other).tobytes(), _packed(x[other])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
-            start, size = 0, 0
-            for i, n in enumerate([*lengths, None]):
-                if i > start and (n is None or i - start >= BLOCK_ROWS or size + n > WORD_BYTES):
-                    cut = pa.array([0, i - start], pa.int32())
-                    held = [pa.ListArray.from_arrays(cut, pa.concat_arrays([c.slice(start, i - start)])) for c in batch.columns]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *held, pa.array([size], pa.int64())], names=["block", "ids", "texts", "size"])
-                    block, start, size = block + 1, i, 0
-                size += n or 0
 
-    return rows.mapInArrow(lean(scan), f"block bigint, ids array<{kind}>, texts array<string>, size bigint")
+def _unmarked(bits: bytes, others: bytes, usual: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(usual)))
+    out = usual.copy()
+    out[at] = _unpacked(others, len(at)).view(np.int64)
+    return out
 
 
-def _block_scores(ids: pa.Array, texts: list[bytes | None], total: np.ndarray, order: int) -> pa.Table:
+def _block_scores(ids: pa.Array, texts: list[bytes | None], told: pa.Table, order: int, bits: int) -> pa.Table:
     """The sums of one block's texts, from the corpus' counts of the block's keys."""
-    text, word, keys, valid = _keyed(texts, order)
-    table, _ = _table(keys, valid, word)
-    n = np.bincount(text[word], minlength=len(texts)).astype(np.int64)
+    text, word, keys, valid = _keyed(texts, order, bits)
+    place = [np.flatnonzero(v) for v in valid]
+    every = np.concatenate([k[p] for k, p in zip(keys, place)])
+    sort = np.argsort(every, kind="stable")
+    every, of = every[sort], np.concatenate([text[p] for p in place])[sort]
+    # equal keys stand in the order of their texts, so the occurrences in one text are neighbours
+    new = np.r_[True, every[1:] != every[:-1]][: len(every)]
+    own = np.flatnonzero(new | np.r_[True, of[1:] != of[:-1]][: len(every)])
+    counts = np.diff(np.r_[np.flatnonzero(new), len(every)])
+    total = np.r_[np.int64(word.sum()), counts]
+    at = 0
+    for size, mark, others in zip(*(told.column(c).to_pylist() for c in ("size", "mark", "total"))):
+        total[at : at + size] = _unmarked(mark, others, total[at : at + size])
+        at += size
+    # how often the k-gram that ends at a token occurs outside of its text
+    left = np.empty(len(every), np.int64)
+    left[sort] = total[1:][np.cumsum(new) - 1] - np.repeat(np.diff(np.r_[own, len(every)]), np.diff(np.r_[own, len(every)]))
     others = []
-    for key, is_one in zip(keys, valid):
-        # how often the k-gram that ends here occurs outside of this text
-        place = np.searchsorted(table, key[is_one])
-        _, of, own = np.unique(text[is_one] * len(table) + place, return_inverse=True, return_counts=True)
-        left = np.zeros(len(key), np.int64)
-        left[is_one] = total[place] - own[of]
-        others.append(left)
+    for p in place:
+        others.append(np.zeros(len(text), np.int64))
+        others[-1][p], left = left[: len(p)], left[len(p) :]
+    n = np.bincount(text[word], minlength=len(texts)).astype(np.int64)
     rest = np.maximum(total[0] - n[text], 1)
     score = np.where(others[0] > 0, others[0], BACKOFF) / rest
     for k in range(1, order):
@@ -271,53 +154,137 @@ def _block_scores(ids: pa.Array, texts: list[bytes | None], total: np.ndarray, o
     return pa.Table.from_arrays([ids, pa.array(n), pa.array(np.round(log, 6)), mean], names=["doc_id", "n_grams", "log_prob", "mean_log_prob"])
 
 
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """``block, ids, sizes, texts``: the rows of each block that a task meets, in one row, their texts compressed."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+
+        def packed(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by("block").combine_chunks()
+            block = table.column("block").to_numpy()
+            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            ids, texts = table.column("doc_id").combine_chunks(), utf8(table.column("text").combine_chunks())
+            sizes = pa.array([-1 if t is None else len(t) for t in texts], pa.int32())
+            cuts = pa.array(edges, pa.int32())
+            raw = [packer.compress(b"".join([t for t in texts[a:b] if t])) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block[edges[:-1]]), pa.ListArray.from_arrays(cuts, ids), pa.ListArray.from_arrays(cuts, sizes), pa.array(raw, pa.binary())],
+                names=["block", "ids", "sizes", "texts"],
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= DEAL_BYTES:
+                yield packed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield packed(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(lean(scan), f"block bigint, ids array<{kind}>, sizes array<int>, texts binary")
+
+
+def _texts(block: pa.Table) -> list[bytes | None]:
+    out, unpacker = [], zstandard.ZstdDecompressor()
+    for sizes, raw in zip(block.column("sizes").to_pylist(), block.column("texts").to_pylist()):
+        whole, at = unpacker.decompress(raw), 0
+        for n in sizes:
+            out.append(None if n < 0 else whole[at : at + n])
+            at += max(n, 0)
+    return out
+
+
 def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
     """``doc_id, n_grams, log_prob, mean_log_prob`` of every whole text, under the counts of all other rows of docs.
 
     A word's score is the count of its ``order``-gram by its context's, both outside of the text; where
     the n-gram is nowhere else, ``BACKOFF`` times the score of the n-gram one shorter, down to the word's share, and
     for a word found nowhere else ``BACKOFF`` by the number of words. log_prob: the sum of the natural
-    logarithms over the text's words; mean: by their number, null for texts without any, whose sum is 0. Repeated
-    rows each count and each give a row; an empty table gives none.
+    logarithms over the text's words; mean: by their number, null for texts without any (null, empty and blank ones), whose
+    sum is 0. Repeated rows each count and each give a row; an empty table gives none. Other columns are not read.
     """
     ship(docs.sparkSession)
-    blocks = written(_blocks(docs), "blocks")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
-    bits = max(3, min(24, (size // WORD_BYTES).bit_length()))
+    rows = docs.select("doc_id", "text")
+    blanks = F.regexp_count("text", F.lit("[ \\t\\n\\x0B\\f\\r]")) + 1
+    size, words = rows.agg(F.sum(F.octet_length("text")), F.sum(blanks)).first()
+    size, words = size or 0, words or 0
+    count = max(1, size // max(WORD_BYTES, int((2 * ROW_KEYS * size) ** 0.5)))
+    fine = count.bit_length() - 1  # buckets by so many leading bits
+    bits = key_bits(order * words)
+    blocks = _dealt(rows, count)
+
+    def send(block: pa.Table) -> pa.Table:
+        _, word, keys, valid = _keyed(_texts(block), order, bits)
+        key, n = _table(keys, valid, word)
+        bucket = (key >> np.uint64(bits - fine)).astype(np.int64) if fine else np.zeros(len(key), np.int64)
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        cuts = list(zip(edges.tolist(), edges[1:].tolist()))
+        first = bucket.astype(np.uint64) << np.uint64(bits - fine) if fine else np.zeros(len(key), np.uint64)
+        marks = [_marked(n[a:b], 1) for a, b in cuts]
+        out = pa.Table.from_arrays(
+            [pa.array(bucket[edges[:-1]]), pa.repeat(block.column("block")[0], len(cuts)), pa.array([b - a for a, b in cuts], pa.int64()),
+             pa.array([_packed(np.diff(key[a:b], prepend=first[a])) for a, b in cuts], pa.binary()), pa.array([m for m, _ in marks], pa.binary()), pa.array([o for _, o in marks], pa.binary())],
+            names=["bucket", "block", "size", "keys", "mark", "n"],
+        )
+        del key, n, keys, valid, first, bucket, word
+        give_back()
+        return out
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, word, keys, valid = _keyed(utf8(batch.column(1)[i].values), order)
-                key, n = _table(keys, valid, word)
-                bucket = key >> np.uint64(64 - bits)
-                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                cuts = list(zip(edges.tolist(), edges[1:].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array([batch.column(0)[i].as_py()] * len(cuts), pa.int64()),
-                     pa.array([_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()), pa.array([_planes(n[a:b]) for a, b in cuts], pa.binary())],
-                    names=["bucket", "block", "keys", "n"],
-                )
-
-    def add(rows: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-        n = np.concatenate([_unplaned(x, np.int64) for x in rows.column("n").to_pylist()])
+    def add(part: pa.Table) -> pa.Table:
+        sizes = part.column("size").to_pylist()
+        keys = [np.cumsum(_unpacked(x, k), dtype=np.uint64) for x, k in zip(part.column("keys").to_pylist(), sizes)]
+        n = np.concatenate([_unmarked(m, x, np.ones(k, np.int64)) for m, x, k in zip(part.column("mark").to_pylist(), part.column("n").to_pylist(), sizes)])
         every, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, of, n)
+        total = np.bincount(of, n, len(every)).astype(np.int64)[of]  # whole numbers far below 2**53
+        cuts = np.cumsum([0, *sizes])
+        marks = [_marked(total[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+        out = pa.Table.from_arrays(
+            [part.column("block"), part.column("bucket"), part.column("size"), pa.array([m for m, _ in marks], pa.binary()), pa.array([o for _, o in marks], pa.binary())],
+            names=["to", "bucket", "size", "mark", "total"],
+        )
+        del keys, n, every, of, total, marks
         give_back()
-        parts = np.split(total[of], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array([_planes(p) for p in parts], pa.binary())], names=["to", "bucket", "total"])
+        return out
 
     def sums(block: pa.Table, told: pa.Table) -> pa.Table:
-        parts = told.sort_by("bucket").column("total").to_pylist()
-        held = block.combine_chunks()
-        ids, texts = held.column("ids").combine_chunks(), held.column("texts").combine_chunks()
+        ids = pa.concat_arrays([c.flatten() for c in block.column("ids").chunks])
+        out = _block_scores(ids, _texts(block), told.sort_by("bucket"), order, bits)
         give_back()
-        return _block_scores(ids.flatten(), utf8(texts.flatten()), np.concatenate([_unplaned(x, np.int64) for x in parts]), order)
+        return out
 
-    sent = blocks.select("block", "texts").mapInArrow(lean(send), "bucket bigint, block bigint, keys binary, n binary")
-    told = sent.groupBy("bucket").applyInArrow(add, "to bigint, bucket bigint, total binary")
+    # both uses of the blocks read the one exchange that deals them
+    sent = blocks.groupBy("block").applyInArrow(send, "bucket bigint, block bigint, size bigint, keys binary, mark binary, n binary")
+    told = sent.groupBy("bucket").applyInArrow(add, "to bigint, bucket bigint, size bigint, mark binary, total binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = blocks.select("block", "ids", "texts").groupBy("block").cogroup(told.groupBy("to"))
+    out = blocks.groupBy("block").cogroup(told.groupBy("to"))
     return out.applyInArrow(sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")
+
+
+def oracle() -> str:
+    """DuckDB SQL for word_scores of three words over documents, whose scripts all have blanks."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"list_filter(regexp_split_to_array({lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    gram = "CASE k WHEN 1 THEN c WHEN 2 THEN b || ' ' || c ELSE a || ' ' || b || ' ' || c END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+t AS (SELECT r, unnest(list_concat([chr(2), chr(2)], w)) AS x, generate_subscripts(list_concat([chr(2), chr(2)], w), 1) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT r, i, x AS c, lag(x) OVER o AS b, lag(x, 2) OVER o AS a FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+e AS (SELECT r, i, k, {gram} AS s FROM g, (VALUES (1), (2), (3)) AS v(k) WHERE i > 2 OR (i = 2 AND k < 3)),
+own AS (SELECT r, k, s, count(*) AS m FROM e GROUP BY ALL),
+tot AS (SELECT k, s, sum(m) AS n FROM own GROUP BY ALL),
+rest AS (SELECT own.r, own.k, own.s, tot.n - own.m AS n FROM own JOIN tot USING (k, s)),
+seen AS (SELECT e.r, e.i, e.k, rest.n FROM e JOIN rest USING (r, k, s)),
+p AS (SELECT r, i, max(n) FILTER (k = 1) AS n1, max(n) FILTER (k = 2) AS n2, max(n) FILTER (k = 3) AS n3 FROM seen GROUP BY ALL),
+q AS (SELECT *, lag(n1) OVER o AS m1, lag(n2) OVER o AS m2 FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+whole AS (SELECT sum(len(w)) AS n FROM d),
+z AS (SELECT q.r, CASE WHEN n3 > 0 THEN n3 / m2 WHEN n2 > 0 THEN {BACKOFF}::DOUBLE * (n2 / m1)
+        ELSE {BACKOFF}::DOUBLE * {BACKOFF}::DOUBLE * (CASE WHEN n1 > 0 THEN n1 ELSE {BACKOFF}::DOUBLE END / greatest(whole.n - len(d.w), 1)) END AS score
+      FROM q JOIN d ON q.r = d.r, whole WHERE i > 2),
+l AS (SELECT r, sum(ln(score)) AS log_prob FROM z GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_grams, round(coalesce(log_prob, 0), 6) AS log_prob, CASE WHEN len(w) > 0 THEN round(log_prob / len(w), 9) END AS mean_log_prob
+FROM d LEFT JOIN l USING (r)
+"""

@@ -62,7 +62,7 @@ def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = gam.quality_scores(docs.select("doc_id", "text"), gam.train(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
@@ -117,4 +117,4 @@ FROM r JOIN documents USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op9_license_scan": licences.oracle(), "license_variants": licences.variants_oracle()}
+    return {"op2_lm_score": lm.oracle(), "op3_warc": OP3, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op9_license_scan": licences.oracle(), "license_variants": licences.variants_oracle()}
