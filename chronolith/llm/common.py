@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,7 +32,10 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="chronolith-ship-")) / "chronolith_code.zip"
+    # Spark's file server sends it from the driver
+    folder = tempfile.mkdtemp(prefix="chronolith-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "chronolith_code.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((root / "chronolith").rglob("*.py")):
             z.write(p, p.relative_to(root))
@@ -42,12 +46,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none is a folder of this machine used, as in tests.
+    Where the session names none, a folder of this machine is used if it runs all executors, as in tests; else that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _owned:
         _owned[app] = tempfile.mkdtemp(prefix="chronolith-shared-")
         atexit.register(shutil.rmtree, _owned[app], ignore_errors=True)
@@ -63,9 +69,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def _remove(path: str) -> None:
+    """Take a folder away, local or by Spark's file systems while the session lasts."""
     local = path.removeprefix("file://").removeprefix("file:")
-    if "://" not in local and os.path.isdir(local):
+    if "://" not in local:
         shutil.rmtree(local, ignore_errors=True)
+        return
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -82,6 +94,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores behind it until no column has it (Spark does not tell case apart)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, null as None."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

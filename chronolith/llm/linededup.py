@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import cut
+from chronolith.llm.common import cut, free_name
 
 #: One in so many lines ends a chunk; words of a long line; words of a chunk that may go.
 EVERY, PASSAGE, LEAST = 2, 50, 20
@@ -73,34 +73,53 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("__a"), F.hash(F.col("text"), F.col("doc_id")).alias("__b")]
 
 
+def _copies(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with ``__a``, ``__b`` and ``__copy``: whether a row is like another in id and text and not the first of these; and whether any is.
+
+    Most tables have no such rows, and then nothing more is done. Else the rows in question, and only they, are
+    counted by all their columns: the first has the smallest hash, and of rows alike in everything one.
+    """
+    keyed, names = docs.select("*", *_key(docs)), ["__a", "__b"]
+    alike = cut(keyed.groupBy(*names).count().where("count > 1").select(*names))
+    one = keyed.withColumn("__copy", F.lit(False))
+    if alike.isEmpty():
+        return one, False
+    many = keyed.join(alike, names, "left_semi").groupBy(*keyed.columns).agg(F.count("*").alias("__n")).withColumn("__hash", F.xxhash64(*docs.columns))
+    many = many.join(many.groupBy(*names).agg(F.min("__hash").alias("__least")), names)
+    many = many.withColumn("__copy", F.explode(F.transform(F.sequence(F.lit(1), F.col("__n")), lambda i: (i > 1) | (F.col("__hash") != F.col("__least")))))
+    return one.join(alike, names, "left_anti").unionByName(many.select(*one.columns)), True
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with repeated chunks taken out, and ``n_chunks`` and ``n_removed``.
 
-    Of equal chunks the one with the smallest (doc_id, row, place) stays, a null id last. A null text
-    stays null; texts without a repeated chunk stay as they are, to the byte. Rows alike in id and
-    text keep and lose the same chunks. ``n_chars``, where there is one, follows the text. No row goes.
+    Of equal chunks the one with the smallest (doc_id, row, place) stays, a null id last. Of rows alike in id and
+    text one counts as the first. A null text stays null; texts without a repeated chunk stay as they are, to the
+    byte. ``n_chars``, where there is one, follows the text. No row goes; an empty table gives none. Where docs has a column named
+    ``n_chunks`` or ``n_removed`` it stays, and the new one has an underscore behind its name.
     """
-    names = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
-    docs = docs.select(*names)
+    names = docs.columns
+    added = [free_name(c, names) for c in ("n_chunks", "n_removed")]
     groups = _occurrences(docs).groupBy("chunk", "digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     # Bytes are compared by the grouping; an occurrence then finds its group by two independent digests.
     groups = cut(groups.where("n > 1").select("digest", F.sha1("chunk").alias("check"), "first"))
     met = _occurrences(docs).select("place", "digest", F.sha1("chunk").alias("check"))
     met = met.join(groups, ["digest", "check"]).where("place <> first")
     gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set("place.at").alias("__gone")))
-    keyed = docs.select("*", *_key(docs)).join(gone, ["__a", "__b"], "left")
-    keyed = chunked(keyed)
+    keyed = chunked(_copies(docs)[0].join(gone, ["__a", "__b"], "left"))
     count = F.size("__chunks")
-    kept = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__chunks", i)["text"]), "\n"))
+    places = F.sequence(F.lit(0), count - 1)
+    lost = F.when(F.col("__copy"), F.filter(places, lambda i: F.get("__chunks", i)["may"])).otherwise(F.col("__gone"))
+    keyed = _held(keyed, __lost=F.coalesce(lost, F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__lost"))
+    text = F.when(F.size("__lost") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__chunks", i)["text"]), "\n"))
     out = keyed.select(
         *(c for c in names if c != "text"), text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(count).cast("bigint").alias("n_chunks"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(count).cast("bigint").alias(added[0]), F.size("__lost").cast("bigint").alias(added[1]),
     )
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names, "n_chunks", "n_removed")
+    return out.select(*names, *added)
 
 
 def _passages(df: DataFrame) -> DataFrame:
@@ -131,11 +150,16 @@ def _passages(df: DataFrame) -> DataFrame:
     return _held(df, __runs=joined).drop("__lines", "__of", "__starts", "__ends")
 
 
+def _all_runs() -> Column:
+    """All chunks that may go and all least runs of a row, as (text, first line, last line)."""
+    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
+    return F.array_union(chunks, F.col("__runs"))
+
+
 def _runs(docs: DataFrame) -> DataFrame:
     """``place, b, digest``: all chunks that may go and all least runs of ``PASSAGE`` words, with their last lines."""
     keyed = _passages(chunked(docs.select("doc_id", "text", *_key(docs))))
-    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
-    out = keyed.select("doc_id", "__a", "__b", F.explode(F.array_union(chunks, F.col("__runs"))).alias("run"))
+    out = keyed.select("doc_id", "__a", "__b", F.explode(_all_runs()).alias("run"))
     return out.select(
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b", F.col("run.a").alias("at")).alias("place"),
         F.col("run.b").alias("b"),
@@ -147,7 +171,7 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without the lines of repeated chunks and of repeated runs of ``PASSAGE`` words or more.
 
     A line goes if a run of lines that holds it, a chunk that may go or any run of so many words, is
-    found before, by (doc_id, row, place), a null id last; runs are equal if their SHA-1 is. Blank lines at a
+    found before, by (doc_id, row, place), a null id last, or in the first of rows alike in id and text; runs are equal if their SHA-1 is. Blank lines at a
     run's ends, or beside a line of ``PASSAGE`` words, may stay. Nulls, other rows and ``n_chars`` are
     treated as by :func:`line_dedup`.
     """
@@ -156,12 +180,18 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     groups = cut(groups.where("n > 1").select("digest", "first"))
     met = _runs(docs).join(groups, "digest").where("place <> first")
     gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set(F.struct(F.col("place.at").alias("a"), "b")).alias("__gone")))
-    keyed = docs.select("*", *_key(docs)).join(gone, ["__a", "__b"], "left")
+    marked, alike = _copies(docs)
+    keyed, own = marked.join(gone, ["__a", "__b"], "left"), F.col("__gone")
+    if alike:
+        # a copy loses all that its first row was found to have
+        keyed = _passages(chunked(keyed))
+        own = F.when(F.col("__copy"), F.transform(_all_runs(), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).otherwise(own)
     lines = F.split("text", "\n", -1)
-    lost = F.flatten(F.transform("__gone", lambda x: F.sequence(x["a"], x["b"])))
-    keyed = _held(keyed, __lines=F.when(F.col("__gone").isNotNull(), lines), __lost=F.array_distinct(lost))
+    keyed = _held(keyed, __spans=own)
+    lost = F.flatten(F.transform("__spans", lambda x: F.sequence(x["a"], x["b"])))
+    keyed = _held(keyed, __lines=F.when(F.size("__spans") > 0, lines), __lost=F.array_distinct(lost))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     out = keyed.select(*(c for c in names if c != "text"), text.alias("text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

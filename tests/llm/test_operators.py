@@ -161,40 +161,11 @@ def test_drop_near_duplicates(docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
-def test_lm_scores(docs, none):
-    got = lm.lm_scores(docs, order=3, least=2)
-    texts = [b" ".join((r[1] or "").encode().split()).lower() if (r[1] or "").isascii() else b" ".join(r[1].encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()) for r in ROWS]
-    counts = [{}, {}, {}, {}]
-    grams = []
-    for t in texts:
-        raw = b"\x02\x02" + t
-        grams.append([raw[i : i + 3] for i in range(len(t))])
-        for g in grams[-1]:
-            for k in (1, 2, 3):
-                counts[k][g[3 - k :]] = counts[k].get(g[3 - k :], 0) + 1
-    context = [{}, {}, {}, {}]
-    for k in (2, 3):
-        for g, n in counts[k].items():
-            context[k][g[:-1]] = context[k].get(g[:-1], 0) + n
-    whole = sum(counts[1].values())
-
-    def score(g):
-        n = counts[len(g)][g]
-        if len(g) == 1:
-            return n / whole
-        return n / context[len(g)][g[:-1]] if n >= 2 else 0.4 * score(g[1:])
-
-    want = sorted((-1 if r[0] is None else r[0], len(g), sum(np.log(score(x)) for x in g)) for r, g in zip(ROWS, grams))
-    mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_grams, r.log_prob) for r in got.collect())
-    assert [x[:2] for x in mine] == [x[:2] for x in want]
-    assert np.allclose([x[2] for x in mine], [x[2] for x in want], atol=1e-4)
-    assert lm.lm_scores(none).count() == 0
-
-
 @pytest.mark.parametrize("order", [1, 3])
 def test_word_scores(docs, none, order, monkeypatch):
     """Against plain counts of all other rows; the count of distinct n-grams grows with the words."""
-    monkeypatch.setattr(lm, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(lm, "WORD_BYTES", 3000)
+    monkeypatch.setattr(lm, "ROW_KEYS", 1)
     texts = [lm.words_of(r[1].encode() if r[1] else None) for r in ROWS]
 
     def counted(some):
@@ -316,19 +287,27 @@ def chunks(text):
     return out
 
 
-def test_line_dedup(docs, none):
-    seen, want = {}, {}
-    for r in sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in ROWS}):
-        kept = [t for at, (t, may) in enumerate(chunks(r[2])) if not may or seen.setdefault(t, (r, at)) == (r, at)]
-        want[r] = "\n".join(kept)
+def test_line_dedup(spark, docs, none):
+    seen, want = set(), []
+    for r in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        kept = []
+        for t, may in chunks(r[1]):
+            if not (may and t in seen):
+                kept.append(t)
+            if may:
+                seen.add(t)
+        want.append((r[0], None if r[1] is None else "\n".join(kept)))
     out = linededup.line_dedup(docs)
-    assert out.columns == [c for c in docs.columns if c != "n_chunks"] + ["n_chunks", "n_removed"]
-    texts = {(r.doc_id is None, r.doc_id or 0): r.text for r in out.collect() if r.text is not None}
-    for (missing, i, text), t in want.items():
-        if text:
-            assert texts[missing, i] == t
-    assert out.count() == len(ROWS) and out.where("text is null").count() == sum(r[1] is None for r in ROWS)
+    # a column of the same name stays, the new one is named apart
+    assert out.columns == [*docs.columns, "n_chunks_", "n_removed"] and out.where("n_chunks = 1").count() == docs.where("n_chunks = 1").count()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(want, key=order)
     assert linededup.line_dedup(none).count() == 0
+    # rows alike in everything, or in id and text: one keeps what repeats
+    twice = spark.createDataFrame([(1, LONG, i % 2) for i in range(6)] + [(2, LONG, 0)], "doc_id long, text string, other int").repartition(4)
+    for dedup in (linededup.line_dedup, linededup.passage_dedup):
+        got = sorted(len(r.text) for r in dedup(twice).collect())
+        assert len(got) == 7 and got[-1] == len(LONG) and got[-2] < len(LONG) / 2
 
 
 def test_passage_dedup_takes_whole_runs(spark, docs, none):
@@ -425,10 +404,50 @@ def test_pii(docs, none):
 
 
 def test_pii_learns_contexts(spark):
-    seeds = [(i, f"x{i} call me at +1 (234) 555-{1000 + i} today") for i in range(30)]
-    found = pii.personal_data(spark.createDataFrame([*seeds, (99, "please call me at 5551234567 today"), (98, "there were 5551234568 of them")], "doc_id long, text string"))
-    by = {r.doc_id: r.spans for r in found.collect()}
-    assert by[99] == "phone:18:28" and by[98] == "" and by[0].startswith("phone:14:")
+    seeds = [(i, f"x{i} please call me at +1 (234) 555-{1000 + i} today") for i in range(30)]
+    keys = [(100 + i, f"say {i} token = '{hashlib.sha1(str(i).encode()).hexdigest()}' ends") for i in range(8)]
+    mails = [(200 + i, f"{['a', 'b'][i % 2]} write to joe{i}@mail.example.com for more") for i in range(20)]
+    others = [
+        (99, "you can call me at 5551234567 today"), (98, "there were 5551234568 of them"), (97, "you may call me at home today"),
+        (96, "its token = 'hunter2-and-more' ends"), (95, "digest " + "ab" * 20 + " of it"), (94, "just write to ann [at] mail [dot] org for more"), (93, None), (92, ""),
+    ]
+    found = pii.personal_data(spark.createDataFrame([*seeds, *keys, *mails, *others, others[0]], "doc_id long, text string").repartition(3)).collect()
+    by = {r.doc_id: r.spans for r in found}
+    assert len(found) == len(seeds) + len(keys) + len(mails) + len(others) + 1
+    assert by[99] == "phone:19:29" and by[98] == by[97] == by[95] == by[93] == by[92] == ""
+    assert by[96] == "secret:13:29" and by[94] == "email:14:37"
+    assert all(by[i].startswith("phone:") and "," not in by[i] for i in range(30))
+    assert all(by[i].startswith("secret:") and "," not in by[i] for i in range(100, 108))
+    assert all(by[i].startswith("email:11:") and "," not in by[i] for i in range(200, 220))
+
+
+def test_pii_matcher_finds_all_slots():
+    """Against every place of every text, for left, right and two-sided patterns."""
+    words = ["call", "me", "at", "the", "id", "is", "=", ":", "x", "77", "a1", "ends", "İx"]
+    for _ in range(300):
+        low = pii.lowered(" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))))
+        runs = [m.span() for m in re.finditer(r"\S+", low) if m[0] not in "=:"]
+        names = {c for s, e in rng.sample(runs, min(2, len(runs))) for c in pii.contexts(low, s, e)}
+        got = pii.Matcher({c: [0] for c in names})(low)
+        want = {(s, e) for s, e in runs if set(pii.contexts(low, s, e)) & names}
+        assert want <= set(got) | {(s, e) for s, e in runs if any(a <= s < b or a < e <= b for a, b in got)}
+        assert all(set(c) & names for c in got.values())
+
+
+def test_pii_scores(spark):
+    """Rounds of the graph against plain loops."""
+    edges = sorted({(rng.randrange(2), f"p{rng.randrange(6)}", f"s{rng.randrange(25)}") for _ in range(120)})
+    seed = {(k, s): rng.random() < 0.6 for k, _, s in edges}
+    score = {i: float(x) for i, x in seed.items()}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for k, p in {e[:2] for e in edges}:
+            held = [score[k, s] for k2, p2, s in edges if (k2, p2) == (k, p)]
+            good[k, p] = sum(held) / (len(held) + pii.DAMP)
+        score = {(k, s): 1.0 if seed[k, s] else 1 - np.prod([max(1 - good[k, p], 1e-9) for k2, p, s2 in edges if (k2, s2) == (k, s)]) for k, s in score}
+    df = spark.createDataFrame([(k, p, s, seed[k, s]) for k, p, s in edges], "kind int, pattern string, surface string, seed boolean")
+    got = {(r.kind, r.surface): r.score for r in pii.scored(df).collect()}
+    assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-9 for i in got)
 
 
 @pytest.mark.parametrize("size", [2048, 100])
@@ -451,6 +470,36 @@ def test_packing(docs, none, size):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_many_tasks(spark):
+    """The count of sequences hardly grows with the count of tasks: against the least that the tokens allow."""
+    pytest.importorskip("public_tokenizers")
+    texts = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(1, 250)))) for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = []
+    for n in (1, 100):
+        got = packing.pack_rows(df.repartition(n, "doc_id"))
+        rows_ = got.collect()
+        fill = {}
+        for r in sorted(rows_, key=lambda r: (r.sequence_id, r.offset)):
+            assert fill.get(r.sequence_id, 0) == r.offset
+            fill[r.sequence_id] = r.offset + r.length
+        least = -(-sum(r.length for r in rows_) // packing.SIZE)
+        assert max(fill.values()) <= packing.SIZE and len({r.doc_id for r in rows_}) == 3000
+        counts.append(len(fill) - least)
+    assert counts[0] <= 2 and counts[1] <= 6
+
+
+def test_other_tokenizers(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    own, other = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert packing.is_known(own) and not packing.is_known(other)
+    texts = ["Hello  wörld\n\n it's 42", "", "a" * 100]
+    got = [x.tolist() for x in packing.tokens(other).many([t.encode() for t in texts])]
+    assert got == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sum_of_squares_rule():
     packer, gaps = packing.Packer(20), {}
     for _ in range(400):
