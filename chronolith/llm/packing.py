@@ -2,8 +2,9 @@
 
 A piece goes where the sum of the squared counts of open sequences per residual gap becomes
 smallest. Only the count of each gap matters for the choice, so a choice looks at one array of
-``SIZE`` numbers. Tokens never leave their task before they have a place: each task packs its own rows
-a window at a time, longest piece first, and carries the open sequences on to its next window.
+``SIZE`` numbers. Each task packs its own rows a window at a time, longest piece first, and carries the open
+sequences on to its next window. What is left open when tasks end is then packed again, pieces of many
+tasks together, by their lengths alone: so the count of sequences does not grow with that of tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import re
 import sys
 import types
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import pieces, ship, utf8
+from chronolith.llm.common import cut, pieces, ship, utf8, written
 
 SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Tokens and pieces of a window, and white-space separated strings kept with their ids, at most.
@@ -106,6 +108,42 @@ class Merges:
         return out
 
 
+#: What the cutting below takes for granted of a tokenizer (fixed values); any other is used as it is.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def is_known(path: str) -> bool:
+    """Whether a tokenizer file has the parts that :class:`Tokens` follows."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    return (
+        found.get("normalizer") == NORMALIZER and found.get("pre_tokenizer") == PRE_TOKENIZER and found.get("post_processor") is None
+        and found.get("truncation") is None and {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")} == MODEL
+        and all(t["content"].startswith("<|") for t in found["added_tokens"])
+    )
+
+
+class Plain:
+    """Ids of whole texts by any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+
 class Tokens:
     """Ids of whole texts, by a tokenizer that never looks across white space.
 
@@ -179,11 +217,11 @@ class Tokens:
         return out
 
 
-def tokens(path: str) -> Tokens:
-    """One Tokens for each worker process and vocabulary; what it has met serves later tasks too."""
+def tokens(path: str) -> Tokens | Plain:
+    """One of these for each worker process and vocabulary; what it has met serves later tasks too."""
     held = sys.modules.setdefault("_chronolith_tokens", types.ModuleType("_chronolith_tokens"))
     if path not in held.__dict__:
-        held.__dict__[path] = Tokens(path)
+        held.__dict__[path] = Tokens(path) if is_known(path) else Plain(path)
     return held.__dict__[path]
 
 
@@ -199,8 +237,8 @@ class Packer:
         """The sequence of a piece and its offset there.
 
         Taking gap g changes the sum of squares by 2 (count[g - length] - count[g]) + 2, where gaps
-        of 0 count nothing; a new sequence by 2 count[size - length] + 1. A tie goes to the
-        smallest gap, and an open sequence goes before a new one.
+        of 0 count nothing. A tie goes to the smallest gap. A new sequence is not weighed against open ones: it is
+        begun only where none has room, as few sequences come before an even count.
         """
         size, count = self.size, self.count
         at, gap = -1, size
@@ -209,7 +247,6 @@ class Packer:
             change[0] -= 1  # a full sequence leaves the count
             change[count[length:size] == 0] = np.iinfo(np.int64).max
             best = int(change.argmin())
-            # a new sequence only where none has room: few sequences come before an even count
             if change[best] != np.iinfo(np.int64).max:
                 gap = best + length
                 at = self.open[gap].pop()
@@ -223,62 +260,105 @@ class Packer:
         return at, size - gap
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE) -> DataFrame:
-    """One row for each piece: ``doc_id, piece, start, length, sequence_id, offset, ids``.
+#: A sequence with so large a gap when its task ends is packed again; pieces that are packed together then.
+TAIL, GROUP = 16, 100_000
 
-    A document is its text's ids and then END; null and empty texts are END alone. Longer ones are
-    cut every ``size`` ids. ``ids``: the piece's ids as little-endian unsigned 32-bit numbers.
-    Repeated rows and null ids are packed like any other; an empty table gives no rows.
-    """
-    ship(docs.sparkSession)
-    if vocabulary is None:
-        import public_tokenizers
 
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    vocabulary = str(vocabulary)
+def _by_task(docs: DataFrame, vocabulary: str, size: int, ids: bool) -> DataFrame:
+    """The pieces as their tasks pack them, each with a ``number``; and for each sequence still open a row with its gap in ``start`` and no number.
+
+    ``ids``: the pieces' ids, or only their CRC32.
+    """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    value, told = (pa.binary(), "ids binary") if ids else (pa.int64(), "ids_crc32 bigint")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = tokens(vocabulary).many, Packer(size)
         first = TaskContext.get().partitionId() << 40
-        names = ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids"]
+        names = ["doc_id", "piece", "start", "length", "sequence_id", "offset", told.split()[0], "number"]
         held: list[tuple] = []
-        weight = 0
+        weight = number = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal number
             at: list = [None] * len(held)
             for i in sorted(range(len(held)), key=lambda i: -held[i][3]):
                 at[i] = packer.place(held[i][3])
             for k in range(0, len(held), 2000):
-                ids, piece, start, length, raw = zip(*held[k : k + 2000])
+                doc, piece, start, length, raw = zip(*held[k : k + 2000])
                 where = at[k : k + 2000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, known), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array([first + s for s, _ in where], pa.int64()), pa.array([o for _, o in where], pa.int64()), pa.array(raw, pa.binary())],
+                    [pa.array(doc, known), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([first + s for s, _ in where], pa.int64()),
+                     pa.array([o for _, o in where], pa.int64()), pa.array(raw, value), pa.array(range(first + number, first + number + len(where)), pa.int64())],
                     names=names,
                 )
+                number += len(where)
 
         known = pa.int64()
         for b in pieces(batches, 1000):
             known = b.column(0).type
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)))):
-                raw = np.append(ids, np.uint32(END))
+            for doc_id, got in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)))):
+                raw = np.append(got, np.uint32(END))
                 for piece, start in enumerate(range(0, len(raw), size)):
-                    part = raw[start : start + size]
-                    held.append((doc_id, piece, start, len(part), part.tobytes()))
-                    weight += len(part)
+                    part = raw[start : start + size].tobytes()
+                    held.append((doc_id, piece, start, len(part) // 4, part if ids else zlib.crc32(part)))
+                    weight += len(part) // 4
                     if weight >= WINDOW_TOKENS or len(held) >= WINDOW_PIECES:
                         yield from packed()
                         held, weight = [], 0
         if held:
             yield from packed()
+        left = [(gap, s) for gap, at in enumerate(packer.open) for s in at]
+        if left:
+            gap, at = zip(*left)
+            empty = [pa.nulls(len(left), t) for t in (known, pa.int32(), pa.int64(), pa.int64(), value, pa.int64())]
+            yield pa.RecordBatch.from_arrays([empty[0], empty[1], pa.array(gap, pa.int64()), empty[2], pa.array([first + s for s in at], pa.int64()), empty[3], empty[4], empty[5]], names=names)
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, piece int, start bigint, length bigint, sequence_id bigint, `offset` bigint, ids binary")
+    return rows.mapInArrow(scan, f"doc_id {kind}, piece int, start bigint, length bigint, sequence_id bigint, `offset` bigint, {told}, number bigint")
 
 
-def pack_rows(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    return pack(docs, vocabulary).select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+def _again(tails: DataFrame, size: int) -> DataFrame:
+    """``number, sequence_id, length`` of pieces -> their new places, where these are fewer sequences: ``number, to, place``."""
+    groups = -(-tails.count() // GROUP) or 1
+
+    def repack(part: pa.Table) -> pa.Table:
+        length, number = part.column("length").to_pylist(), part.column("number").to_pylist()
+        free = sorted(set(part.column("sequence_id").to_pylist()))
+        packer, at = Packer(size), [(0, 0)] * len(length)
+        for i in sorted(range(len(length)), key=lambda i: (-length[i], number[i])):
+            at[i] = packer.place(length[i])
+        if packer.made >= len(free):
+            number, at = [], []
+        return pa.table({"number": pa.array(number, pa.int64()), "to": pa.array([free[s] for s, _ in at], pa.int64()), "place": pa.array([o for _, o in at], pa.int64())})
+
+    dealt = tails.withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(repack, "number bigint, to bigint, place bigint")
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, ids: bool = True) -> DataFrame:
+    """One row for each piece: ``doc_id, piece, start, length, sequence_id, offset``, and ``ids`` or ``ids_crc32``.
+
+    A document is its text's ids and then END; null and empty texts are END alone. Longer ones are
+    cut every ``size`` ids. ``ids``: the piece's ids as little-endian unsigned 32-bit numbers; without, their CRC32.
+    Repeated rows and null ids are packed like any other; an empty table gives no rows. Other columns are not read.
+    """
+    ship(docs.sparkSession)
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    first = written(_by_task(docs, str(vocabulary), size, ids), "packed")
+    open_ = first.where((F.col("number").isNull()) & (F.col("start") >= TAIL)).select("sequence_id")
+    made = first.where("number is not null")
+    tails = cut(made.select("number", "sequence_id", "length").join(open_, "sequence_id", "left_semi"))
+    moved = made.join(cut(_again(tails, size)), "number", "left")
+    return moved.select(
+        "doc_id", "piece", "start", "length", F.coalesce("to", "sequence_id").alias("sequence_id"), F.coalesce("place", "offset").alias("offset"),
+        "ids" if ids else "ids_crc32",
     )
+
+
+def pack_rows(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The pieces with a checksum in place of their ids; null, repeated and empty input as in :func:`pack`."""
+    return pack(docs, vocabulary, ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
