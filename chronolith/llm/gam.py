@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import pieces, ship, utf8
+from chronolith.llm.common import free_name, pieces, ship, utf8
 from chronolith.llm.rules import _place
 from chronolith.llm.textstats import base
 
@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most"))
     marks = marks.where("y = most").where(F.crc32(F.col("doc_id").cast("string")) % fold != 0)
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "y")
-    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "y"]).dropDuplicates(["doc_id"])
+    # of several texts of one id the one with the least features counts
+    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x"))
     got = sorted((r["doc_id"], r["y"], r["x"]) for r in rows.collect())
     x = np.array([r[2] for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
@@ -179,14 +180,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
 def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs but the text, and ``score`` and ``predicted`` of every whole text.
 
-    Null and empty texts score as texts without words. Repeated rows each give a row.
+    Null and empty texts score as texts without words. Repeated rows each give a row; an empty table gives none. Where docs has a
+    column of either name it stays, and the new one has an underscore behind its name.
     """
-    ship(docs.sparkSession)
-    return _scored(docs, model, threshold, [c for c in docs.columns if c not in ("text", "score", "predicted")])
+    carried = [c for c in docs.columns if c != "text"]
+    return _scored(docs, model, threshold, carried, [free_name(c, docs.columns) for c in ("score", "predicted")])
 
 
-def _scored(docs: DataFrame, model: Model, threshold: float, carried: list[str]) -> DataFrame:
-    rows = docs.select(*carried, *(["text"] if "text" not in carried else []))
+def _scored(docs: DataFrame, model: Model, threshold: float, carried: list[str], added: list[str]) -> DataFrame:
+    ship(docs.sparkSession)
+    rows = docs.select(*(f"`{c}`" for c in carried), *(["text"] if "text" not in carried else []))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -194,15 +197,20 @@ def _scored(docs: DataFrame, model: Model, threshold: float, carried: list[str])
             score = model.score(x)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in carried), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=[*carried, "score", "predicted"],
+                names=[*carried, *added],
             )
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*carried).schema)
-    return rows.mapInArrow(scan, f"{schema}score double, predicted int")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in carried)
+    return rows.mapInArrow(scan, f"{schema}`{added[0]}` double, `{added[1]}` int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not reject."""
-    others = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = _scored(docs.select(*others), train(docs, labels), THRESHOLD, others).where("predicted = 1")
-    return kept.select(*docs.columns) if len(others) == len(docs.columns) else kept.select(*others)
+    """The rows of docs, all columns, that the classifier does not reject.
+
+    Null, empty and repeated texts are judged by their score like any other; an empty table gives none. Without labels every row
+    has the same score, 0.5, and stays.
+    """
+    added = [free_name(c, docs.columns) for c in ("score", "predicted")]
+    kept = _scored(docs, train(docs, labels), THRESHOLD, docs.columns, added).where(F.col(added[1]) == 1)
+    return kept.select(*(f"`{c}`" for c in docs.columns))
