@@ -1,29 +1,33 @@
 """Benchmark decontamination: an FM-index for each shard of documents, asked for the benchmark's windows.
 
-A shard is a bounded run of rows inside a task. Only its runs of words that the benchmark also has, and
-that are as long as the shortest window, are indexed; no window can occur elsewhere. The suffix array of
-those runs gives the Burrows-Wheeler transform, kept as a wavelet matrix for ranks; all windows
+A shard is a run of rows inside a task, bounded in rows and bytes. Only its runs of words that the benchmark also
+has, and that are as long as the shortest window, are indexed; no window can occur elsewhere. The suffix array of
+those runs gives the Burrows-Wheeler transform, kept as a wavelet matrix of packed bits for ranks; all windows
 are searched backwards together, and occurrences are located by walking to sampled suffixes.
 
-The benchmark is a query set: it is read in blocks of ``BLOCK`` bytes at most, each broadcast on its own.
+The benchmark is a query set. Up to ``BLOCK`` bytes of it are broadcast at once, and a shard is indexed once for them;
+a larger one is taken block after block, each in a scan of its own whose broadcast is dropped when it ends.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ALNUM_TABLE, pieces, ship, utf8
+from chronolith.llm.common import ALNUM_TABLE, free_name, pieces, ship, utf8, written
 
-WINDOW, BLOCK, SHARD_ROWS, STEP = 10, 8_000_000, 2000, 8
+WINDOW, STEP = 10, 8
+#: Bytes of benchmark that are broadcast at once; rows and bytes of a shard, at most (a longer text is a shard).
+BLOCK, SHARD_ROWS, SHARD_BYTES = 16_000_000, 2000, 8_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -31,6 +35,25 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split() if text else []
 
 
+class Bits:
+    """Bits packed by 64, and how many are set before each pack: a little over one bit for each."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        padded = np.zeros(len(bit) // 64 * 64 + 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.packs = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.packs), dtype=np.int64)[:-1]]
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many are set before each place."""
+        pack = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[pack] + np.bitwise_count(self.packs[pack] & below)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.packs[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+
+
 class FMIndex:
     """Over numbers from 1 up, with 0 as a separator that no pattern has and that ends the text."""
 
@@ -61,10 +84,9 @@ class FMIndex:
         self.ones, self.zeros, held = [], [], last
         for level in range(self.levels - 1, -1, -1):
             bit = held >> level & 1
-            self.ones.append(np.r_[0, np.cumsum(bit)])
+            self.ones.append(Bits(bit))
             self.zeros.append(n - int(bit.sum()))
             held = np.r_[held[bit == 0], held[bit == 1]]
-        self.begin = np.searchsorted(held, 0) if n else 0
         starts = np.full(1 << self.levels, n)
         letters = np.unique(last)
         for c in letters.tolist():
@@ -76,7 +98,7 @@ class FMIndex:
 
     def _down(self, letter: np.ndarray, row: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            ones = self.ones[k][row]
+            ones = self.ones[k].ones(row)
             row = np.where(letter >> level & 1, self.zeros[k] + ones, row - ones)
         return row
 
@@ -87,8 +109,7 @@ class FMIndex:
     def letter(self, row: np.ndarray) -> np.ndarray:
         out = np.zeros(len(row), np.int64)
         for k in range(self.levels):
-            bit = self.ones[k][row + 1] - self.ones[k][row]
-            ones = self.ones[k][row]
+            bit, ones = self.ones[k].get(row), self.ones[k].ones(row)
             row = np.where(bit, self.zeros[k] + ones, row - ones)
             out = out << 1 | bit
         return out
@@ -185,28 +206,29 @@ def hits(words: list[list[bytes]], block: Patterns) -> tuple[np.ndarray, np.ndar
     return start, np.cumsum(mark)[:-1] > 0, items
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of the benchmark's blocks; the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator:
+    """Broadcasts of the benchmark's blocks, one after another, each dropped when the next is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    count = -(-size // BLOCK)
-    return [
-        spark.sparkContext.broadcast(patterns([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()], window))
-        for k in range(count)
-    ]
-
-
-def _found(texts: list[bytes | None], blocks: list) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
-    words = [words_of(t) for t in texts]
-    mark, items = np.zeros(sum(map(len, words)), bool), [set() for _ in words]
-    start = np.r_[0, np.cumsum(list(map(len, words)))].astype(np.int64)
-    for block in blocks:
-        _, more, met = hits(words, block.value)
-        mark |= more
-        for a, b in zip(items, met):
-            a |= b
-    return list(map(len, words)), [mark[a:b] for a, b in zip(start[:-1], start[1:])], items
+    count = max(1, -(-size // BLOCK))
+    for k in range(count):
+        rows = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        sent = spark.sparkContext.broadcast(patterns([tuple(r) for r in rows.collect()], window))
+        yield sent, k, count
+        if count > 1:
+            sent.unpersist()
+
+
+def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of SHARD_ROWS rows and SHARD_BYTES bytes of text at most, of a row at least."""
+    for batch in pieces(batches, SHARD_ROWS):
+        size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SHARD_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
@@ -214,33 +236,77 @@ def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+SPAN = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+SPANS = "spans array<struct<first: bigint, `end`: bigint>>, items array<string>"
+
+
+def _key() -> list[Column]:
+    """Two hashes that name a row by its id and text; rows alike in both have the same hits."""
+    return [F.xxhash64("doc_id", "text").alias("a"), F.hash(F.col("text"), F.col("doc_id")).alias("b")]
+
+
+def _found(docs: DataFrame, sent, every: bool) -> DataFrame:
+    """``doc_id, a, b, n_words, spans, items`` of a block's hits in every row, or in those that have any."""
+    rows = docs.select("doc_id", "text", *_key())
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _shards(batches, 1):
+            words = [words_of(t) for t in utf8(b.column(1))]
+            start, mark, items = hits(words, sent.value)
+            spans = [[{"first": f, "end": e} for f, e in _runs(mark[x:y])] if i else [] for x, y, i in zip(start[:-1], start[1:], items)]
+            out = pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), b.column(3), pa.array(list(map(len, words)), pa.int64()), pa.array(spans, SPAN), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                names=["doc_id", "a", "b", "n_words", "spans", "items"],
+            )
+            yield out if every else out.filter(pa.array([bool(i) for i in items]))
+
+    return rows.mapInArrow(scan, f"doc_id {kind}, a bigint, b int, n_words bigint, {SPANS}")
+
+
+def _united(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch made one."""
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(held) > 0) & (F.try_element_at(held, F.lit(-1))["end"] >= x["first"]), F.concat(F.slice(held, 1, F.size(held) - 1), F.array(joined))).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first: bigint, `end`: bigint>>"), add)
+
+
+def _every_hit(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``doc_id, a, b, n_words, spans, items`` of every row, over all blocks of the benchmark."""
+    first, more = None, []
+    for sent, k, count in _blocks(benchmark, window):
+        part = _found(docs, sent, k == 0)
+        if count == 1:
+            return part
+        part = written(part, "hits")
+        first, more = (part, more) if k == 0 else (first, [*more, part])
+    names = ["a", "b"]
+    every = reduce(DataFrame.unionByName, (p.select(*names, "spans", "items") for p in (first.where(F.size("items") > 0), *more))).distinct()
+    met = every.groupBy(*names).agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    out = first.select("doc_id", *names, "n_words").join(met, names, "left")
+    empty = F.array().cast("array<string>")
+    return out.select("doc_id", *names, "n_words", _united(F.coalesce("s", F.array().cast("array<struct<first: bigint, `end`: bigint>>"))).alias("spans"), F.coalesce("i", empty).alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` of every whole text.
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one
     window. spans: the merged hit words, as (first, end) word numbers. Null and empty texts have
     no words. Items with null or wordless texts have no windows; several rows of one item_id count as
-    one item. Repeated rows each give a row; an empty benchmark hits nothing.
+    one item. Repeated rows each give a row; an empty benchmark hits nothing, an empty table gives no rows. Other columns are
+    not read.
     """
     ship(docs.sparkSession)
-    blocks = _blocks(benchmark, window)
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, SHARD_ROWS):
-            count, marks, items = _found(utf8(b.column(1)), blocks)
-            hit = [int(m.sum()) for m in marks]
-            digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-            spans = [[{"first": a, "end": e} for a, e in _runs(m)] if h else [] for m, h in zip(marks, hit)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit]), pa.array(spans, span)],
-                names=names,
-            )
-
-    return rows.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<first: bigint, `end`: bigint>>")
+    n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, x: t + x["end"] - x["first"])
+    return _every_hit(docs, benchmark, window).select(
+        "doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "spans",
+    )
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -259,19 +325,42 @@ def without(text: bytes, mark: np.ndarray) -> bytes:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, with the benchmark's windows taken out of the texts.
 
-    No row goes; ``n_chars``, where there is one, follows the text.
+    No row goes; ``n_chars``, where there is one, follows the text. Null and empty texts stay as they are, repeated
+    rows are treated alike, and an empty table gives none. All other columns stay as they are, whatever their names.
     """
     ship(docs.sparkSession)
-    blocks, place = _blocks(benchmark, window), docs.columns.index("text")
+    blocks = _blocks(benchmark, window)
+    sent, _, count = next(blocks)
+    place, spans = docs.columns.index("text"), free_name("spans", docs.columns)
+    if count > 1:
+        blocks.close()
+        a, b = (free_name(c, docs.columns) for c in ("a", "b"))
+        met = _every_hit(docs, benchmark, window).where(F.size("items") > 0).select(F.col("a").alias(a), F.col("b").alias(b), F.col("spans").alias(spans)).distinct()
+        key = [c.alias(n) for c, n in zip(_key(), (a, b))]
+        rows = docs.select("*", *key).join(met, [a, b], "left").select(*docs.columns, spans)
+    else:
+        rows = docs
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, SHARD_ROWS):
-            texts = utf8(b.column(place))
-            _, marks, _ = _found(texts, blocks)
-            new = [without(t, m) if m.any() else t for t, m in zip(texts, marks)]
-            columns = list(b.columns)
+        for batch in _shards(batches, place):
+            texts = utf8(batch.column(place))
+            if count > 1:
+                marks = [_mark(len(words_of(t)), s) if s else None for t, s in zip(texts, batch.column(spans).to_pylist())]
+            else:
+                start, mark, items = hits([words_of(t) for t in texts], sent.value)
+                marks = [mark[x:y] if i else None for x, y, i in zip(start[:-1], start[1:], items)]
+            new = [t if m is None else without(t, m) for t, m in zip(texts, marks)]
+            columns = list(batch.columns)[: len(names)]
             columns[place] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(scan, docs.schema)
+    names = docs.columns
+    out = rows.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _mark(n: int, spans: list[dict]) -> np.ndarray:
+    out = np.zeros(n, bool)
+    for s in spans:
+        out[s["first"] : s["end"]] = True
+    return out

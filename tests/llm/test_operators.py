@@ -373,6 +373,25 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination(none, bench).count() == 0
 
 
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    """A benchmark larger than a broadcast gives what one block gives, shards of any size too."""
+    bench = spark.createDataFrame([(i, prose(30) if i % 3 else TEXTS[18 + i][:400]) for i in range(30)] + [(50, ITEM), (51, None)], "item_id long, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    want, clean = rows(decontam.contamination(docs, bench), *names), rows(decontam.remove_contamination(docs, bench), *docs.columns)
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 1500)
+    assert rows(decontam.contamination(docs, bench), *names) == want
+    monkeypatch.setattr(decontam, "BLOCK", 2000)
+    assert rows(decontam.contamination(docs, bench), *names) == want and sum(r[5] for r in want) > 5
+    assert rows(decontam.remove_contamination(docs, bench), *docs.columns) == clean
+
+
+def test_packed_bits():
+    for n in (0, 1, 63, 64, 65, 500):
+        bit = np.array([rng.randint(0, 1) for _ in range(n)], np.int64)
+        packed, at = decontam.Bits(bit), np.arange(n + 1)
+        assert packed.ones(at).tolist() == np.r_[0, np.cumsum(bit)].tolist() and packed.get(at[:-1]).tolist() == bit.tolist()
+
+
 def test_fm_index():
     for _ in range(60):
         text = [rng.randint(0, 4) for _ in range(rng.randint(0, 60))] + [0]
