@@ -267,6 +267,64 @@ def test_quality_rules_judge_short_texts(spark):
     assert kept == set(range(len(clean)))
 
 
+def test_quality_rules_by_plain_loops(spark):
+    """References, distances and verdicts, against loops over whole texts; a fifth language and a rare one too."""
+    often = {k: v.split() for k, v in rules.COMMON.items()}
+    odd = ["".join(rng.choice("абвгдежзик") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = []
+    for i in range(90):
+        lang = ("en", "de", "ru", "en", None)[i % 5] if i < 86 else "rare"
+        words = odd if lang in ("ru", "rare") else VOCABULARY + often.get(lang, often["en"]) * 8
+        texts.append((i, " ".join(rng.choice(words) for _ in range(rng.randint(40, 260))) + "." * (i % 3), lang))
+    texts += [(100 + i, " ".join("#$%" + rng.choice(VOCABULARY) for _ in range(90)), "en") for i in range(2)] + [(200, None, "en"), (201, "", None)]
+
+    def hists(text):
+        raw, words = text.encode(), text.split()
+        c = textstats.class_counts(raw).tolist()
+        w = [0] * len(rules.WORDS)
+        for x in words:
+            if (y := x.strip(".,").lower()) in rules.WORDS and len(x.encode()) < 8:
+                w[rules.WORDS.index(y)] += 1
+        return [x / sum(c) for x in c], [x / len(words) for x in (*w, len(words) - sum(w))]
+
+    def distance(p, q):
+        mid = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = sum(a * np.log2(a / m) for x in (p, q) for a, m in zip(x, mid) if a > 0)
+        return max(kl / 2, 0) ** 0.5
+
+    held = {i: hists(t) for i, t, _ in texts if t}
+    bad = {r[0]: r[6] for r in rows(rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string")), "doc_id", *rules.OUT, "base_failed")}
+
+    def refs(ids):
+        out = {}
+        for lang in {x[2] for x in texts if x[2]}:
+            mine = [held[i] for i, _, k in texts if k == lang and i in ids]
+            if len(mine) >= rules.LEAST_DOCS:
+                out[lang] = tuple([sum(h[n][j] for h in mine) / len(mine) for j in range(len(mine[0][n]))] for n in (0, 1))
+        return out
+
+    def judged(of):
+        out = {}
+        for i, t, lang in texts:
+            n = len((t or "").split())
+            near = [min(distance(held[i][k], r[k]) for r in of.values()) if t else None for k in (0, 1)]
+            far = bool(t) and (near[0] > rules.FAR_CLASSES or near[1] > float(rules.far_words(np.array([n]))[0])) and (lang is None or lang in of)
+            out[i] = (near, far)
+        return out
+
+    sound = {i for i in held if not bad[i]}
+    first = judged(refs(sound))
+    last = judged(refs({i for i in sound if not first[i][1]}))
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(texts)
+    for i, (near, far) in last.items():
+        if held.get(i):
+            assert np.allclose([got[i].class_distance, got[i].word_distance], near, atol=1e-9)
+        assert got[i].kept == (not bad[i] and not far)
+    assert not any(got[i].kept for i in range(100, 102))
+    assert all(got[i].kept for i, _, k in texts if k in ("ru", "rare") and not bad[i])
+
+
 def test_js_distance():
     p = np.array([[1.0, 0, 0], [0.5, 0.5, 0]])
     assert np.allclose(np.diag(rules.js_distance(p, p)), 0) and np.isclose(rules.js_distance(p[:1], np.array([[0.0, 1, 0]]))[0, 0], 1)
