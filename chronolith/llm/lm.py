@@ -7,8 +7,8 @@ hashes, so an n-gram in every text is one number for each block. A bucket is the
 its hashes: it adds the counts up and sends each block the totals of its n-grams, in their order. Back
 in its block a text's words are scored and summed.
 
-Blocks and buckets are as many; their size grows with the square root of the corpus once it is large, so that a
-row keeps at least ``ROW_KEYS`` n-grams or so and the packed rows stay in proportion to the text.
+Blocks are a quarter of the buckets at most; their size grows with the square root of the corpus once it is large, so that a
+row keeps some tens of n-grams at least and the packed rows stay in proportion to the text.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import give_back, lean, ship, utf8
 
 BACKOFF, WORD_ORDER, START = 0.4, 3, 2
-#: Bytes of text of a block and of a bucket's share, at least; n-grams of a packed row, at least; bytes that a task deals at once.
-WORD_BYTES, ROW_KEYS, DEAL_BYTES = 4_000_000, 64, 16_000_000
+#: Bytes of text of a block and of a bucket's share, at least; n-grams of a block's share of a packed row; bytes that a task deals at once.
+WORD_BYTES, ROW_KEYS, DEAL_BYTES = 4_000_000, 256, 16_000_000
 #: Characters of scripts written without blanks (Thai to Burmese, and from the CJK radicals on) are words each.
 _SINGLE = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e-\x9f][\x80-\xbf]|[\xe3-\xed\xef][\x80-\xbf]{2}|\xe2[\xba-\xbf][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
@@ -125,11 +125,15 @@ def _block_scores(ids: pa.Array, texts: list[bytes | None], told: pa.Table, orde
     text, word, keys, valid = _keyed(texts, order, bits)
     place = [np.flatnonzero(v) for v in valid]
     every = np.concatenate([k[p] for k, p in zip(keys, place)])
-    sort = np.argsort(every, kind="stable")
-    every, of = every[sort], np.concatenate([text[p] for p in place])[sort]
-    # equal keys stand in the order of their texts, so the occurrences in one text are neighbours
-    new = np.r_[True, every[1:] != every[:-1]][: len(every)]
-    own = np.flatnonzero(new | np.r_[True, of[1:] != of[:-1]][: len(every)])
+    of = np.concatenate([text[p] for p in place])
+    sort = np.argsort(every)
+    new = np.r_[True, every[sort][1:] != every[sort][:-1]][: len(every)]
+    rank = np.empty(len(every), np.int64)
+    rank[sort] = np.cumsum(new) - 1
+    # once more, so that the occurrences of a key in one text are neighbours
+    pair = rank * len(texts) + of
+    sort = np.argsort(pair)
+    own = np.flatnonzero(np.r_[True, pair[sort][1:] != pair[sort][:-1]][: len(every)])
     counts = np.diff(np.r_[np.flatnonzero(new), len(every)])
     total = np.r_[np.int64(word.sum()), counts]
     at = 0
@@ -138,7 +142,7 @@ def _block_scores(ids: pa.Array, texts: list[bytes | None], told: pa.Table, orde
         at += size
     # how often the k-gram that ends at a token occurs outside of its text
     left = np.empty(len(every), np.int64)
-    left[sort] = total[1:][np.cumsum(new) - 1] - np.repeat(np.diff(np.r_[own, len(every)]), np.diff(np.r_[own, len(every)]))
+    left[sort] = total[1:][rank[sort]] - np.repeat(np.diff(np.r_[own, len(every)]), np.diff(np.r_[own, len(every)]))
     others = []
     for p in place:
         others.append(np.zeros(len(text), np.int64))
@@ -213,7 +217,7 @@ def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
     size, words = rows.agg(F.sum(F.octet_length("text")), F.sum(blanks)).first()
     size, words = size or 0, words or 0
     count = max(1, size // max(WORD_BYTES, int((2 * ROW_KEYS * size) ** 0.5)))
-    fine = count.bit_length() - 1  # buckets by so many leading bits
+    fine = (4 * count).bit_length() - 1  # buckets by so many leading bits: several for a block, so that tasks get like shares
     bits = key_bits(order * words)
     blocks = _dealt(rows, count)
 
