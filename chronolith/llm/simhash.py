@@ -16,12 +16,13 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.bktree import Forest, labels_of, least_forest
-from chronolith.llm.common import ALNUM_TABLE, cut, lean, pieces, ship, utf8, written
-from chronolith.llm.graph import components
+from chronolith.llm.common import ALNUM_TABLE, cut, free_name, lean, pieces, ship, utf8, written
+from chronolith.llm.graph import by_hub, components
 
 BITS, RADIUS = 64, 4
 #: Members of a shard's part; two parts at most meet in one step of a task.
@@ -32,6 +33,10 @@ EXPECTED = 64
 LATE = 256
 #: Near-duplicate groups: independent fingerprints of a document, and the least cosine of five-word shingle sets.
 PRINTS, SHINGLE, SIMILAR = 6, 5, 0.8
+#: Segments of a text that are compared whole: so many, of so many words on average and at least.
+SEGMENTS, SEGMENT_WORDS, SEGMENT_LEAST = 6, 16, 6
+#: Members of a part of a segment's texts; members up to which all pairs of a part are weighed; neighbours weighed beyond.
+SEGMENT_PART, SEGMENT_ALL, NEIGHBOURS = 4096, 64, 4
 
 
 def shingle_hashes(text: bytes | None, size: int) -> Iterator[np.ndarray]:
@@ -173,7 +178,7 @@ def links(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -> Data
     rows = prints.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("f"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_shards(batches):
+        for table in _bounded(_whole_shards(batches)):
             a, b = _links_in(table, radius)
             label, node = labels_of(table.num_rows, a, b), table.column("node").to_numpy()
             child = np.flatnonzero(label != np.arange(len(label)))
@@ -195,9 +200,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = RADIUS,
     prints = cut(fingerprints(docs, shingle, id_column, text_column))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(nodes.select("fp"), radius))
-    named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(named.join(least, "root").select("fp", "component_id"))
+    named = cut(nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("degree"))
+    of = cut(by_hub(named, least, "root", named.count()).select("fp", "component_id"))
     return prints.join(of, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -206,8 +211,32 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = RADIUS,
 # Groups of near copies by several fingerprints, with a check of the shingles.
 
 
-def content_prints(text: bytes | None) -> tuple[int, bytes]:
-    """A hash of the word sequence and ``PRINTS`` SimHashes over the longer words.
+def segments(words: list[bytes]) -> bytes:
+    """Hashes of up to ``SEGMENTS`` segments of a text: those with the smallest.
+
+    A segment ends where a word's hash says so, so a block put in or cut out changes no segment but those beside
+    it, and texts alike but for such a block have most of their smallest in common.
+    """
+    seen: dict[bytes, int] = {}
+    for w in words:
+        if w not in seen:
+            seen[w] = xxhash.xxh64_intdigest(w, 7)
+    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    ends = np.flatnonzero(h >> np.uint64(32) & np.uint64(SEGMENT_WORDS - 1) == 0)
+    start = np.unique(np.r_[0, ends + 1])
+    start = start[start < len(h)]
+    if not len(start):
+        return b""
+    size = np.diff(np.r_[start, len(h)])
+    place = (np.arange(len(h)) - np.repeat(start, size)).astype(np.uint64)
+    whole = np.add.reduceat((h ^ place * np.uint64(0x9E3779B97F4A7C15)) * (place * np.uint64(2) + np.uint64(0xD6E8FEB86659FD93)), start)
+    found = np.unique(whole[size >= SEGMENT_LEAST])
+    found ^= found >> np.uint64(29)
+    return np.sort(found * np.uint64(0xBF58476D1CE4E5B9))[:SEGMENTS].astype(">u8").tobytes()
+
+
+def content_prints(text: bytes | None) -> tuple[int, bytes, bytes]:
+    """A hash of the word sequence, ``PRINTS`` SimHashes over the longer words, and the text's :func:`segments`.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lowered; words
     of three bytes or fewer, alike in all texts, carry no weight unless there are no others.
@@ -217,7 +246,7 @@ def content_prints(text: bytes | None) -> tuple[int, bytes]:
     node = node - (1 << 64) if node >> 63 else node
     heavy = [w for w in words if len(w) > 3] or words
     if not heavy:
-        return node, bytes(8 * PRINTS)
+        return node, bytes(8 * PRINTS), b""
     count: dict[bytes, int] = {}
     for w in heavy:
         count[w] = count.get(w, 0) + 1
@@ -228,7 +257,15 @@ def content_prints(text: bytes | None) -> tuple[int, bytes]:
         raw = b"".join(xxhash.xxh3_128_digest(w, s) for w in each[at : at + 20_000] for s in range(PRINTS // 2))
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * PRINTS), axis=1)
         sums += weight[at : at + 20_000] @ bits
-    return node, np.packbits(sums * 2 > total).tobytes()
+    return node, np.packbits(sums * 2 > total).tobytes(), segments(words)
+
+
+def _packed(text: bytes | None) -> bytes | None:
+    return None if text is None else zstandard.compress(text, 1)
+
+
+def _unpacked(text: bytes | None) -> bytes | None:
+    return None if text is None else zstandard.decompress(text)
 
 
 def _each_print(signed: DataFrame) -> DataFrame:
@@ -252,13 +289,49 @@ def _pairs(signed: DataFrame, radius: int) -> DataFrame:
             node = table.column("node").to_numpy()
             a, b = (x[node[a] != node[b]] for x in (np.minimum(a, b), np.maximum(a, b)))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, PRINTS)
-            far = np.concatenate([np.bitwise_count(sig[a[i : i + 65536]] ^ sig[b[i : i + 65536]]).sum(1, np.int64) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
-            keep = least_forest(table.num_rows, a, b, far)
+            keep = least_forest(table.num_rows, a, b, _distances(sig, a, b))
             u, v = node[a[keep]], node[b[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     met = _meetings(rows.select("node", "fp", "f", "sig"), radius, signed.count())
-    return met.mapInArrow(lean(scan), "u bigint, v bigint").distinct()
+    return met.mapInArrow(lean(scan), "u bigint, v bigint")
+
+
+def _distances(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all fingerprints together, for pairs of rows."""
+    return np.concatenate([np.bitwise_count(sig[a[i : i + 65536]] ^ sig[b[i : i + 65536]]).sum(1, np.int64) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+
+
+def _segment_pairs(signed: DataFrame) -> DataFrame:
+    """``(node, sig, segs, size)`` -> candidate pairs of texts that have a segment in common.
+
+    A least spanning forest of each segment's texts: of all their pairs where they are few, else of those with
+    the next in size, so that a segment in very many texts gives a few pairs for each. Such texts go in parts.
+    """
+    one = F.explode(F.sequence(F.lit(1), F.floor(F.length("segs") / 8)))
+    rows = signed.where(F.length("segs") > 0).withColumn("i", one)
+    rows = rows.select("node", "sig", "size", F.conv(F.hex(F.substring("segs", (F.col("i") - 1).cast("int") * 8 + 1, F.lit(8))), 16, -10).cast("bigint").alias("seg"))
+    count = cut(rows.groupBy("seg").count().where("count > 1"))
+    parts = F.ceil(F.col("count") / SEGMENT_PART)
+    met = rows.join(count, "seg").withColumn("shard", F.xxhash64("seg", F.pmod(F.xxhash64("node"), parts)))
+    met = met.select("shard", "seg", "size", "node", "sig").repartition("shard").sortWithinPartitions("shard", "seg", "size", "node")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_shards(batches, 8192):
+            shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, PRINTS)
+            start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            size = np.diff(np.r_[start, len(shard)])
+            # pairs by how far apart they stand: all of small groups, next neighbours of large ones
+            left = np.repeat(np.where(size <= SEGMENT_ALL, size, NEIGHBOURS + 1), size) - 1
+            room = np.repeat(start + size, size) - np.arange(len(shard)) - 1
+            pairs = [(at, at + k) for k in range(1, SEGMENT_ALL) if len(at := np.flatnonzero((left >= k) & (room >= k)))]
+            a, b = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            keep = least_forest(table.num_rows, a, b, _distances(sig, a, b))
+            u, v = node[a[keep]], node[b[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return met.mapInArrow(lean(scan), "u bigint, v bigint").where("u <> v")
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -325,7 +398,7 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
 def _compared(table: pa.Table, between) -> pa.RecordBatch:
     """One shard's links that hold, but those between nodes already connected here."""
     node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-    sets = [_shingle_set(t) for t in utf8(table.column("text").combine_chunks())]
+    sets = [_shingle_set(_unpacked(t)) for t in table.column("text").to_pylist()]
     root = {x: x for x in label.tolist()}
 
     def find(x: int) -> int:
@@ -346,9 +419,10 @@ def _compared(table: pa.Table, between) -> pa.RecordBatch:
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(node, root)`` of word sequences: texts whose five-word shingle sets have a cosine of 0.8 or more, and what they reach.
 
-    Candidates come from ``PRINTS`` SimHashes searched through BK-trees. The shingles of a spanning
+    Candidates come from ``PRINTS`` SimHashes searched through BK-trees, and from whole segments in common. The shingles of a spanning
     forest of them are compared first, which joins nearly all copies; then those of every candidate
-    pair whose ends are still apart. ``node`` is the hash from :func:`content_prints`.
+    pair whose ends are still apart. ``node`` is the hash from :func:`content_prints`; roots are left out. Null and empty texts
+    have one node. Repeated rows are one node; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select("text")
@@ -356,16 +430,17 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             texts = utf8(b.column(0))
-            got = [content_prints(t) for t in texts]
+            node, sig, segs = zip(*map(content_prints, texts)) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary()), b.column(0)],
-                names=["node", "sig", "text"],
+                [pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(segs, pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([_packed(t) for t in texts], pa.binary())],
+                names=["node", "sig", "segs", "size", "text"],
             )
 
-    signed = rows.mapInArrow(lean(scan), "node bigint, sig binary, text string")
-    # one text for each word sequence: copies in a third of all rows meet as partial results
-    kept = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "prints")
-    pairs = cut(_pairs(kept.select("node", "sig"), radius))
+    signed = rows.mapInArrow(lean(scan), "node bigint, sig binary, segs binary, size bigint, text binary")
+    # one text, compressed, for each word sequence: copies in a third of all rows meet as partial results
+    first = F.min_by(F.struct("sig", "segs", "size", "text"), "size").alias("x")
+    kept = written(signed.groupBy("node").agg(first).select("node", "x.*"), "prints")
+    pairs = cut(_pairs(kept.select("node", "sig"), radius).union(_segment_pairs(kept.select("node", "sig", "segs", "size"))).distinct())
     left = pairs.join(kept.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     both = left.join(kept.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
@@ -374,9 +449,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             # a node of many pairs is hashed once for each piece
             sets: dict[int, np.ndarray] = {}
             for ids, texts in ((0, 2), (1, 3)):
-                for node, text in zip(b.column(ids).to_pylist(), utf8(b.column(texts))):
+                for node, text in zip(b.column(ids).to_pylist(), b.column(texts).to_pylist()):
                     if node not in sets:
-                        sets[node] = _shingle_set(text)
+                        sets[node] = _shingle_set(_unpacked(text))
             same = [_similar(sets[u], sets[v]) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=["u", "v", "same"])
 
@@ -404,23 +479,23 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     root = near_duplicate_groups(docs)
     names = [c for c in docs.columns if c != "text"]
+    node_, key_, id_ = (free_name(c, docs.columns) for c in ("__node", "__key", "__id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             got = [xxhash.xxh64_intdigest(b" ".join((t or b"").translate(ALNUM_TABLE).split()), 0) for t in utf8(b.column("text"))]
             node = pa.array(np.array(got, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, node_])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(lean(scan), f"{schema}, __node bigint")
+    marked = docs.mapInArrow(lean(scan), f"{schema}, `{node_}` bigint")
     # the best row of each word sequence, then of each group; ranks carry no text
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns)).alias("rank")
-    best = marked.select("__node", rank).groupBy("__node").agg(F.min("rank").alias("rank"))
-    named = best.join(root.select(F.col("node").alias("__node"), "root"), "__node", "left")
-    chosen = named.groupBy(F.coalesce("root", "__node").alias("root")).agg(F.min(F.struct("rank", "__node")).alias("best"))
-    chosen = cut(chosen.select("best.rank", "best.__node"))
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    only = keyed.join(chosen.select(F.col("rank.col3").alias("__key"), F.col("rank.doc_id").alias("__id")).distinct(), "__key")
-    only = only.where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("key")).alias("rank")
+    best = marked.select(F.col(node_).alias("node"), rank).groupBy("node").agg(F.min("rank").alias("rank"))
+    named = best.join(root, "node", "left")
+    chosen = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("rank", "node")).alias("best"))
+    chosen = cut(chosen.select(F.col("best.rank.key").alias(key_), F.col("best.rank.id").alias(id_)).distinct())
+    only = docs.withColumn(key_, F.xxhash64(*docs.columns)).join(chosen, key_)
+    only = only.where(F.col("doc_id").eqNullSafe(F.col(id_)))
     # rows alike in every column are copies too: one of them stays
-    return only.dropDuplicates([*names, "__key"]).select(*docs.columns)
+    return only.dropDuplicates([*names, key_]).select(*docs.columns)

@@ -99,6 +99,20 @@ def test_bk_forest_and_hot_shards(spark, monkeypatch):
     assert len(set(zip(mine, label.tolist()))) == len(set(mine)) == len(set(label.tolist()))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """A star, chains and loops, with hubs sent to all and without."""
+    from chronolith.llm import graph
+
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200), (131, 59), (300, 301), (301, 300)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
+    label = bktree.labels_of(600, *np.array(edges).T)
+    want = {i: int(x) for i, x in enumerate(label.tolist()) if x != i}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for least in (1000, 5):
+        monkeypatch.setattr(graph, "HUB_LEAST", least)
+        assert {r.node: r.root for r in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [10, 10**6, 10**9])
 def test_masks_cover_every_near_pair(n):
     every = simhash.masks(n)
@@ -110,6 +124,28 @@ def test_masks_cover_every_near_pair(n):
         assert any((a & (m % 2**64)) == (b & (m % 2**64)) for m in every)
 
 
+def united(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return {n: find(n) for n in nodes}
+
+
+def near_pairs(texts):
+    """All pairs of word sequences with a cosine of 0.8 or more, by plain sets; and the nodes with their fingerprints."""
+    seen = {simhash.content_prints(t.encode())[:2]: alnum(t) for t in texts}
+    nodes = [(n, np.frombuffer(s, np.uint64), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for (n, s), w in seen.items()]
+    pairs = [(m, n, int(np.bitwise_count(s ^ t).min())) for i, (m, s, x) in enumerate(nodes) for n, t, y in nodes[:i] if len(x & y) >= 0.8 * (len(x) * len(y)) ** 0.5]
+    return pairs, [n for n, _, _ in nodes]
+
+
 def test_near_duplicate_groups_lose_no_link(spark, monkeypatch):
     """Candidates of every forest may fail while one left out of it holds; all are compared in the end."""
     monkeypatch.setattr(simhash, "LATE", 16)  # parts that meet pairwise
@@ -122,25 +158,42 @@ def test_near_duplicate_groups_lose_no_link(spark, monkeypatch):
                 words[rng.randrange(60)] = rng.choice(VOCABULARY)
             texts.append(" ".join(words))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    seen = {simhash.content_prints(t.encode()): t.split() for t in texts}
-    nodes = [(n, np.frombuffer(s, np.uint64), {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for (n, s), w in seen.items()]
-    root, held = {n: n for n, _, _ in nodes}, 0
+    pairs, nodes = near_pairs(texts)
+    close = [(a, b) for a, b, far in pairs if far <= 4]
+    got = {n: n for n in nodes} | {r.node: r.root for r in simhash.near_duplicate_groups(df).collect()}
+    most = united([p[:2] for p in pairs], nodes)
+    assert len(close) > 50 and 6 < len(set(got.values())) < len(nodes) - 20
+    assert all(got[a] == got[b] for a, b in close)  # no link between candidates is lost
+    assert all(most[n] == most[r] for n, r in got.items())  # and none made that does not hold
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for i, (m, s, x) in enumerate(nodes):
-        for n, t, y in nodes[:i]:
-            if np.bitwise_count(s ^ t).min() <= 4 and len(x & y) >= 0.8 * (len(x) * len(y)) ** 0.5:
-                held += 1
-                p, q = find(m), find(n)
-                root[max(p, q)] = min(p, q)
-    want = {(n, find(n)) for n in root if find(n) != n}
-    assert held > 50 and 6 < len({find(n) for n in root}) < len(root) - 20
-    got = [(r.node, r.root) for r in simhash.near_duplicate_groups(df).collect()]
-    assert sorted(got) == sorted(want)
+def test_near_duplicates_found(spark):
+    """Against all pairs: words changed here and there, and blocks put in or cut out, of texts of 60 to 500 words."""
+    texts = []
+    for i in range(160):
+        words = prose(rng.randint(60, 500)).split()
+        texts.append(" ".join(words))
+        at, n = rng.randrange(len(words)), max(1, len(words) * rng.randint(1, 18) // 100)
+        if i % 3 == 0:
+            words[at:at] = prose(n).split()
+        elif i % 3 == 1:
+            del words[at : at + n]
+        else:
+            for _ in range(max(1, len(words) // 50)):
+                words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    pairs, nodes = near_pairs(texts)
+    got = {n: n for n in nodes} | {r.node: r.root for r in simhash.near_duplicate_groups(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).collect()}
+    assert len(pairs) > 120 and np.mean([got[a] == got[b] for a, b, _ in pairs]) >= 0.95
+    most = united([p[:2] for p in pairs], nodes)
+    assert all(most[n] == most[r] for n, r in got.items())
+
+
+def test_segments_outlive_blocks():
+    words = [w.encode() for w in prose(400).split()]
+    whole, cut = (np.frombuffer(simhash.segments(w), ">u8") for w in (words, words[:200] + words[230:]))
+    assert 0 < len(whole) <= simhash.SEGMENTS and set(whole) & set(cut) and list(whole) == sorted(whole)
+    assert simhash.segments([]) == b"" and simhash.segments([b"a"]) == b""
 
 
 def test_slices_keep_shards_whole():
