@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.constants import AF, AT, EF, ET, HASH
+from chronolith.constants import AF, AT, EF, ET, HASH, INFINITY
+from chronolith.operators.normalize import instant, temporal_types
 
 
 def as_of(df: DataFrame, effective: Column, known: Column) -> DataFrame:
@@ -15,6 +16,11 @@ def as_of(df: DataFrame, effective: Column, known: Column) -> DataFrame:
     return df.where((F.col(EF) <= effective) & (F.col(ET) > effective) & (F.col(AF) <= known) & (F.col(AT) > known))
 
 
+def is_live(df: DataFrame) -> Column:
+    """Whether a row is what is known now: nothing has ended its time in the table."""
+    return F.col(AT).isNull() | (F.col(AT) >= instant(INFINITY, temporal_types(df)[AT]))
+
+
 def _unchanged(current: DataFrame, expire: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     keys = [*id_columns, EF, AF, *([HASH] if HASH in current.columns else [])]
     gone = expire.select(F.struct(*keys).alias("_key")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from chronolith.engine import compute_changes
-from chronolith.operators.apply import apply_change_set
+from chronolith.operators.apply import apply_change_set, is_live
 
 
 def maintain(
@@ -18,12 +18,15 @@ def maintain(
     """Apply each micro-batch to the stored table.
 
     ``load`` reads the table; ``store`` replaces it and is told the batch number, so a batch that is run again
-    after a failure can be seen as such and stored once. Options are those of ``compute_changes``.
+    after a failure can be seen as such and stored once. Changes are computed for the rows that are known now; those that
+    earlier batches ended stay as they are. Options are those of ``compute_changes``.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        current = load(batch.sparkSession)
+        table = load(batch.sparkSession)
+        current, past = table.where(is_live(table)), table.where(~is_live(table))
         changes = compute_changes(current, batch, id_columns, value_columns, **options)
-        store(apply_change_set(current, changes, id_columns), number)
+        now = apply_change_set(current, changes, id_columns)
+        store(now.unionByName(past.select(*now.columns)), number)
 
     return updates.writeStream.foreachBatch(step)

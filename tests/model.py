@@ -3,8 +3,6 @@
 Rows are dicts of ``value, from, to, as_of``; times are day numbers.
 """
 
-from itertools import groupby
-
 
 def valid(rows):
     return [r for r in rows if r["from"] < r["to"]]
@@ -60,41 +58,45 @@ def delta(current, updates):
     return hit, merged(made)
 
 
+def match(update, current):
+    """(how, row): of the current rows with the update's value the one of its very range, else the last that touches it, else the first."""
+    same = sorted((c for c in current if c["value"] == update["value"]), key=order)
+    kinds = (
+        ("exact", [c for c in same if (c["from"], c["to"]) == (update["from"], update["to"])][:1]),
+        ("beside", [c for c in same if touch(c, update)][-1:]),
+        ("other", same[:1]),
+    )
+    return next(((how, found[0]) for how, found in kinds if found), ("none", None))
+
+
+def case(update, current):
+    """The case of an update and the row that it is about: what is to be done with them stands in CASES."""
+    how, c = match(update, current)
+    if how == "beside":
+        return ("1a" if c["to"] < OPEN <= update["to"] else "1b"), c
+    if how == "other":
+        inside = c["from"] <= update["from"] and c["to"] >= update["to"]
+        return ("3a" if inside else "3b" if c["from"] == update["from"] else "3c"), c
+    return {"exact": "2", "none": "4"}[how], c
+
+
+#: For each case what expires (nothing, the row, or all rows of the id if nothing was inserted before) and what is inserted.
+CASES = {
+    "1a": ("", "update"), "1b": ("row", "merged"), "2": ("", ""), "3a": ("", ""), "3b": ("row", "update"), "3c": ("", "update"), "4": ("all", "update"),
+}
+
+
 def full_state(current, updates, day, stamp):
     if not updates:
         gone = [c for c in current if c["from"] < day]
         return gone, merged([c | {"to": day, "as_of": stamp} for c in gone])
-    gone, made, queued = [], [], False
-    for u in sorted(updates, key=order):
-        best, how = None, ""
-        for c in sorted(current, key=order):
-            if c["value"] != u["value"]:
-                continue
-            if (c["from"], c["to"]) == (u["from"], u["to"]):
-                best, how = c, "exact"
-                break
-            if touch(c, u):
-                best, how = c, "beside"
-            elif best is None:
-                best = c
-        if best is None:
-            gone += [] if queued else current
-            made.append(u)
-            queued = True
-        elif how == "beside":
-            if best["to"] < OPEN <= u["to"]:
-                made.append(u)
-                queued = True
-            else:
-                gone.append(best)
-                made.append(u | {"from": min(u["from"], best["from"]), "to": max(u["to"], best["to"]), "as_of": stamp})
-        elif how != "exact" and not (best["from"] <= u["from"] and best["to"] >= u["to"]):
-            if best["from"] == u["from"]:
-                gone.append(best)
-            made.append(u)
-            queued = True
+    cases = [(u, *case(u, current)) for u in sorted(updates, key=order)]
+    plain = [k for _, k, _ in cases if CASES[k][1] == "update"]
+    gone = [c for _, k, c in cases if CASES[k][0] == "row"] + (current if plain[:1] == ["4"] else [])
+    made = [u for u, k, _ in cases if CASES[k][1] == "update"]
+    made += [u | {"from": min(u["from"], c["from"]), "to": max(u["to"], c["to"]), "as_of": stamp} for u, k, c in cases if CASES[k][1] == "merged"]
     ends = {u["from"]: u["to"] for u in sorted(updates, key=order)}
-    gone = [next(g) for _, g in groupby(sorted(gone, key=lambda c: (order(c), c["as_of"])))]
+    gone = list({order(c): c for c in gone}.values())
     return [c | {"to": ends.get(c["from"], c["to"])} for c in gone], merged(made)
 
 
