@@ -13,7 +13,9 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -115,6 +117,17 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows and bytes of a column of texts at most, of a row at least."""
+    for batch in pieces(batches, rows):
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same scan; after each task its worker, which waits for others, gives freed memory back."""
 

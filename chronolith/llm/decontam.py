@@ -19,11 +19,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ALNUM_TABLE, free_name, pieces, ship, utf8, written
+from chronolith.llm.common import ALNUM_TABLE, bounded, free_name, ship, utf8, written
 
 WINDOW, STEP = 10, 8
 #: Bytes of benchmark that are broadcast at once; rows and bytes of a shard, at most (a longer text is a shard).
@@ -220,17 +219,6 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator:
             sent.unpersist()
 
 
-def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of SHARD_ROWS rows and SHARD_BYTES bytes of text at most, of a row at least."""
-    for batch in pieces(batches, SHARD_ROWS):
-        size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SHARD_BYTES, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.r_[0, mark.astype(np.int8), 0]))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
@@ -251,7 +239,7 @@ def _found(docs: DataFrame, sent, every: bool) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _shards(batches, 1):
+        for b in bounded(batches, 1, SHARD_ROWS, SHARD_BYTES):
             words = [words_of(t) for t in utf8(b.column(1))]
             start, mark, items = hits(words, sent.value)
             spans = [[{"first": f, "end": e} for f, e in _runs(mark[x:y])] if i else [] for x, y, i in zip(start[:-1], start[1:], items)]
@@ -342,7 +330,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
         rows = docs
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _shards(batches, place):
+        for batch in bounded(batches, place, SHARD_ROWS, SHARD_BYTES):
             texts = utf8(batch.column(place))
             if count > 1:
                 marks = [_mark(len(words_of(t)), s) if s else None for t, s in zip(texts, batch.column(spans).to_pylist())]

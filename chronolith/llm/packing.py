@@ -9,7 +9,6 @@ tasks together, by their lengths alone: so the count of sequences does not grow
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import sys
@@ -19,19 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import cut, pieces, ship, utf8, written
+from chronolith.llm.common import bounded, cut, ship, utf8, written
 
 SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Tokens and pieces of a window, and white-space separated strings kept with their ids, at most.
-WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 600_000
+WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 2_000_000
 #: Parts of a lower-cased string of Latin letters, digits and signs that the tokenizer treats one by one.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sa-z0-9\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Strings that PARTS covers: others go through the whole tokenizer.
 COVERED = re.compile("[\x21-\x7e\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,40}")
+#: One word of Latin letters, with a stop or comma behind it or not: by far most strings.
+PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,]?$"
+#: Bytes of a string that is kept between calls, and of the texts of a call, at most.
+LONG, CALL_BYTES = 160, 6_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -139,82 +143,115 @@ class Plain:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
 
+def _ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of a pool on end."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Tokens:
     """Ids of whole texts, by a tokenizer that never looks across white space.
 
-    Each white-space separated string is looked up among those met before. New ones of Latin letters,
-    digits and signs are cut as the tokenizer cuts them and merged together in arrays; any other
-    goes through the tokenizer itself.
+    Arrow cuts texts into strings, numbers them, and looks each distinct one up among those met before. New
+    ones of Latin letters, digits and signs are cut as the tokenizer cuts them and merged together in arrays; any
+    other goes through the tokenizer itself. ``start`` and ``length`` are each known string's run of ids in the pool.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _learn(self, strings: set[bytes]) -> None:
-        was = gc.isenabled()
-        gc.disable()  # else it would look through the many short lists below again and again
-        try:
-            self._merge(strings)
-        finally:
-            if was:
-                gc.enable()
-
-    def _merge(self, strings: set[bytes]) -> None:
-        plain: list[bytes] = []
-        cut: list[bytes] = []
-        fresh: set[bytes] = set()
-        for string in strings:
-            if string.isascii():
-                body = string.lower().rstrip(b".,")
-                if len(string) - len(body) < 2 and body.isalpha() and len(body) < 40:
-                    plain.append(string)
-                    fresh.add(body)
-                    continue
-            cut.append(string)
-        parts: list[list[bytes] | None] = []
-        for string in cut:
-            text = string.decode()
-            if COVERED.fullmatch(text) and "<|" not in text:
-                parts.append([p.encode() for p in PARTS.findall(text.lower())])
-                fresh.update(parts[-1])
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                self.known[string] = np.array(ids, np.uint32).tobytes()
-                parts.append(None)
-        fresh.update((b".", b","))
-        missing = list(fresh.difference(self.parts))
-        self.parts.update(zip(missing, self.merges(missing)))
-        known, ids = self.known, self.parts
-        for string in plain:
-            body = string.lower().rstrip(b".,")
-            known[string] = ids[body] if len(body) == len(string) else ids[body] + ids[string[-1:]]
-        for string, each in zip(cut, parts):
-            if each is not None:
-                known[string] = b"".join([ids[p] for p in each])
-
-    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([""], pa.string())
+        self.start, self.length, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool, and the run in it of each of some distinct parts, which are strings too."""
+        at = pc.index_in(parts, value_set=self.known)
+        fresh = at.is_null()
+        made = self.merges(utf8(parts.filter(fresh)))
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        at, fresh = at.fill_null(0).to_numpy(), fresh.to_numpy(zero_copy_only=False)
+        start, length = self.start[at], self.length[at]
+        start[fresh], length[fresh] = len(self.pool) + np.cumsum(size) - size, size
+        return np.r_[self.pool, np.frombuffer(b"".join(made), np.uint32)], start, length
+
+    def _learn(self, strings: pa.Array) -> None:
+        plain = pc.and_(pc.match_substring_regex(strings, PLAIN), pc.less_equal(pc.utf8_length(strings), 40))
+        some = strings.filter(plain)
+        sign = np.select([pc.ends_with(some, x).to_numpy(zero_copy_only=False) for x in ".,"], [1, 2], 0)
+        body = pc.utf8_rtrim(pc.utf8_lower(some), ".,").dictionary_encode()
+        signs = pa.array(["", ".", ","])
+        pool, start, length = self._ids(pa.concat_arrays([body.dictionary, signs]))
+        n = len(body.dictionary)
+        # a body's ids, then its sign's
+        at = np.stack([body.indices.to_numpy(), n + sign], 1).ravel()
+        joined = _ragged(pool, start[at], length[at])
+        size = np.zeros(len(strings), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        size[is_plain] = length[at].reshape(-1, 2).sum(1)
+        # the others: parts where they can be cut, else the tokenizer's ids, which join the pool as parts of their own
+        rest = [self._cut(x) for x in strings.filter(pc.invert(plain)).to_pylist()]
+        parts = pa.array(sorted({p for x in rest if isinstance(x, list) for p in x}), pa.string())
+        pool, start, length = self._ids(parts)
+        number = {p: i for i, p in enumerate(parts.to_pylist())}
+        told = [x for x in rest if not isinstance(x, list)]
+        size_told = np.fromiter(map(len, told), np.int64, len(told))
+        start = np.r_[start, len(pool) + np.cumsum(size_told) - size_told]
+        length, pool = np.r_[length, size_told], np.concatenate([pool, *told])
+        next_told = iter(range(len(number), len(start)))
+        each = [[number[p] for p in x] if isinstance(x, list) else [next(next_told)] for x in rest]
+        at = np.array([i for x in each for i in x], np.int64)
+        other = _ragged(pool, start[at], length[at])
+        ends = np.r_[0, np.cumsum(length[at])][np.cumsum([0, *map(len, each)])]
+        size[~is_plain] = np.diff(ends)
+        place = np.zeros(len(strings), np.int64)
+        place[is_plain] = np.cumsum(size[is_plain]) - size[is_plain]
+        place[~is_plain] = len(joined) + np.cumsum(size[~is_plain]) - size[~is_plain]
+        self.known = pa.concat_arrays([self.known, strings])
+        self.start, self.length = np.r_[self.start, len(self.pool) + place], np.r_[self.length, size]
+        self.pool = np.concatenate([self.pool, joined, other]).astype(np.uint32)
+
+    def _cut(self, text: str) -> list[str] | np.ndarray:
+        """A string's parts, or its ids where only the tokenizer can tell."""
+        if COVERED.fullmatch(text) and "<|" not in text:
+            return PARTS.findall(text.lower())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text. What is kept between calls is bounded by KEPT strings and those of one call."""
-        split = [t.split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            self.parts.clear()
-            new = set().union(*split)
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, strings)), np.uint32) for strings in split]
-        for string in [w for w in new if len(w) > 40]:
-            del self.known[string]
-        return out
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        strings = coded.dictionary
+        at = pc.index_in(strings, value_set=self.known)
+        if at.null_count:
+            if len(self.known) + at.null_count > KEPT:
+                self._forget()
+                at = pc.index_in(strings, value_set=self.known)
+            new, before = at.is_null(), len(self.known)
+            self._learn(strings.filter(new))
+            at = at.fill_null(0).to_numpy().astype(np.int64)
+            new = new.to_numpy(zero_copy_only=False)
+            at[new] = before + np.arange(int(new.sum()))
+        else:
+            at = at.to_numpy().astype(np.int64)
+        each = at[coded.indices.to_numpy()]
+        length = self.length[each]
+        ids = _ragged(self.pool, self.start[each], length)
+        cuts = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
+        if pc.max(pc.binary_length(strings)).as_py() > LONG:
+            short = pc.less_equal(pc.binary_length(self.known), LONG)
+            keep = short.to_numpy(zero_copy_only=False)
+            self.known, self.start, self.length = self.known.filter(short), self.start[keep], self.length[keep]
+            self.pool, self.start = _ragged(self.pool, self.start, self.length), np.cumsum(self.length) - self.length
+        return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
 
 def tokens(path: str) -> Tokens | Plain:
@@ -296,9 +333,9 @@ def _by_task(docs: DataFrame, vocabulary: str, size: int, ids: bool) -> DataFram
                 number += len(where)
 
         known = pa.int64()
-        for b in pieces(batches, 1000):
+        for b in bounded(batches, 1, 4000, CALL_BYTES):
             known = b.column(0).type
-            for doc_id, got in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)))):
+            for doc_id, got in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 raw = np.append(got, np.uint32(END))
                 for piece, start in enumerate(range(0, len(raw), size)):
                     part = raw[start : start + size].tobytes()

@@ -626,10 +626,28 @@ def test_other_tokenizers(tmp_path):
     own, other = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
     assert packing.is_known(own) and not packing.is_known(other)
     texts = ["Hello  wörld\n\n it's 42", "", "a" * 100]
-    got = [x.tolist() for x in packing.tokens(other).many([t.encode() for t in texts])]
+    got = [x.tolist() for x in packing.tokens(other).many(pa.array(texts))]
     assert got == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_equal_the_tokenizers(monkeypatch):
+    """Odd strings, a few at a time, with little kept between calls."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    whole, mine = Tokenizer.from_file(path), packing.Tokens(path)
+    monkeypatch.setattr(packing, "KEPT", 400)
+    monkeypatch.setattr(packing, "LONG", 20)
+    signs = "abcXYZäÖßéİıǅǆﬁ中文пр'’.,!?-_#$<|>@0189²½ªµº×÷\u0301\u00a0\u2003\u200b"
+    for _ in range(120):
+        texts = [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",", ".,", "'s"]) for _ in range(rng.randint(0, 12))) for _ in range(4)]
+        texts += [None, "", " \t\n", rng.choice(VOCABULARY).title() + ", " + rng.choice(VOCABULARY) * 9, "x" * 50 + " <|endoftext|> End."]
+        got = [x.tolist() for x in mine.many(pa.array(texts, pa.string()))]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(mine.known) <= 400 and len(set(mine.known.to_pylist())) == len(mine.known) == len(mine.start)
+
+
 def test_sum_of_squares_rule():
     packer, gaps = packing.Packer(20), {}
     for _ in range(400):
