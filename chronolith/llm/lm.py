@@ -213,7 +213,8 @@ def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    blanks = F.regexp_count("text", F.lit("[ \\t\\n\\x0B\\f\\r]")) + 1
+    # nearly the number of words, which only the keys' size depends on
+    blanks = F.octet_length("text") - F.octet_length(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
     size, words = rows.agg(F.sum(F.octet_length("text")), F.sum(blanks)).first()
     size, words = size or 0, words or 0
     count = max(1, size // max(WORD_BYTES, int((2 * ROW_KEYS * size) ** 0.5)))
