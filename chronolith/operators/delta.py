@@ -28,14 +28,17 @@ def _small(df: DataFrame) -> bool:
 
 
 def touched(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The current rows whose id has updates, where the ids are few enough to be sent to all; else all.
+    """The current rows that an update of their id can meet or touch, where the ids are few enough to be sent to all; else all.
 
-    The others change nothing; this only keeps them out of the exchange.
+    The others, rows of other ids and rows before or behind all updates of their id, change nothing; this only keeps
+    them out of the exchange.
     """
-    ids = updates.select(*(F.col(k).alias(f"_of{k}") for k in keys))
-    if not _small(ids):
+    every = updates.select(*(F.col(k).alias(f"_of{k}") for k in keys), F.col(EF).alias("_of_from"), F.col(ET).alias("_of_to"))
+    if not _small(every):
         return current
-    return current.join(ids.distinct(), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys)), "left_semi")
+    spans = every.groupBy(*(f"_of{k}" for k in keys)).agg(F.min("_of_from").alias("_of_from"), F.max("_of_to").alias("_of_to"))
+    near = (F.col(EF) <= F.col("_of_to")) & (F.col(ET) >= F.col("_of_from"))
+    return current.join(spans, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys), near), "left_semi")
 
 
 def roles(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
