@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from chronolith.constants import EF, ET, HASH
 from chronolith.engine import ChangeSet, compute_changes, prepare
 from chronolith.functions.hashing import with_value_hash
-from chronolith.functions.intervals import adjacent, conflate, conflate_updates, distinct_segments, elementary_segments, first_started, intersects, meets, open_ended, prevents_merge
+from chronolith.functions.intervals import can_conflate, conflate, conflate_updates, distinct_segments, elementary_segments, first_started, intersects, meets, open_ended, prevents_merge
 from chronolith.operators import delta, full_state
 from chronolith.operators.apply import apply_change_set, as_of
 from chronolith.operators.normalize import align, instant, normalize_temporal, restore_infinity, unfolded, validate_schema
@@ -96,8 +96,9 @@ def pairs(touching: bool) -> Query:
         if touching:
             rows = event_runs(spark, sf_dir)
             by = Window.partitionBy("user_id", "event_type", "bucket").orderBy(EF)
-            rows = rows.withColumn("next_from", F.lead(EF).over(by))
-            return rows.where(adjacent(F.col(EF), F.col(ET), F.col("next_from"), F.lit(None))).select("user_id", "event_type", "bucket", EF, "next_from")
+            rows = rows.withColumns({"next_from": F.lead(EF).over(by), "next_to": F.lead(ET).over(by)})
+            same = F.col("bucket"), F.col(EF), F.col(ET), F.col("bucket"), F.col("next_from"), F.col("next_to")
+            return rows.where(can_conflate(*same)).select("user_id", "event_type", "bucket", EF, "next_from")
         # a range of times is cut into days' bins, so that the join is on keys and not on all of an id
         day = lambda c: F.unix_date(F.col(c).cast("date"))
         bins = F.explode(F.sequence(F.floor(day(EF) / 60), F.floor((day(ET) - 1) / 60)))

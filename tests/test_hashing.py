@@ -56,3 +56,22 @@ def test_edges(spark):
     for bad in (lambda: add_hash_key(df, ["x"]), lambda: add_hash_key(df.limit(0), ["i"]), lambda: add_hash_key(df, ["i"], "md5")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_nanoseconds_and_intervals(spark):
+    from pyspark.sql import functions as F
+
+    from chronolith import with_value_hash
+    from chronolith.functions.intervals import adjacent, can_conflate, intersects
+
+    t = datetime(2020, 1, 1, 1, 2, 3, 4)
+    df = spark.createDataFrame([(t, t)], "t timestamp_ntz, z timestamp")
+    micros = round((t - EPOCH).total_seconds() * 1e6)
+    for unit, factor in (("us", 1), ("ns", 1000)):
+        got = with_value_hash(df, ["t", "z"], "sha256", unit).first().value_hash
+        assert got == hashlib.sha256(struct.pack("<qq", micros * factor, micros * factor)).hexdigest()
+    pairs = spark.createDataFrame([(a, a + n, b, b + m, h) for a in range(4) for n in (1, 2) for b in range(4) for m in (1, 2) for h in (0, 1)], "a int, b int, c int, d int, h int")
+    ends = [F.col(x) for x in "abcd"]
+    for r in pairs.select("*", intersects(*ends).alias("i"), adjacent(*ends).alias("j"), can_conflate(F.col("h"), ends[0], ends[1], F.lit(1), ends[2], ends[3]).alias("k")).collect():
+        assert r.i == bool(set(range(r.a, r.b)) & set(range(r.c, r.d)))
+        assert r.j == (r.b == r.c or r.d == r.a) and r.k == (r.j and r.h == 1)
