@@ -421,16 +421,9 @@ def test_line_dedup(spark, docs, none):
         assert len(got) == 7 and got[-1] == len(LONG) and got[-2] < len(LONG) / 2
 
 
-def test_passage_dedup_takes_whole_runs(spark, docs, none):
-    """Against every run of lines of every text: what was found before goes, and all that line_dedup takes."""
-    shared = [[prose(n, n) for _ in range(k)] for k, n in ((2, 30), (3, 18), (4, 15), (6, 10), (1, 55)) for _ in range(6)]
-    shared.append([prose(20, 20), "", *(prose(9, 9) for _ in range(5)), " \t", prose(12, 12)])
-    texts = []
-    for _ in range(2):
-        for p in shared:
-            texts.append("\n".join([*(prose(9, 9) for _ in range(rng.randint(0, 4))), *p, *(prose(9, 9) for _ in range(rng.randint(0, 4)))]))
-    texts += ["\n".join(shared[7] * 2), "\n".join(["a b c d e f g"] * 12), "\n" * 80, None, ""]
-    seen, want, whole = set(), [], 0
+def without_repeats(texts):
+    """Texts, in the order of their ids, without the lines of runs and chunks found before."""
+    seen, want = set(), []
     for t in texts:
         lines = (t or "").split("\n")
         runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if lines[a].split() and lines[b].split() and sum(len(x.split()) for x in lines[a : b + 1]) >= linededup.PASSAGE]
@@ -445,6 +438,19 @@ def test_passage_dedup_takes_whole_runs(spark, docs, none):
                 lost |= set(range(a, b + 1))
             seen.add(x)
         want.append("\n".join(x for i, x in enumerate(lines) if i not in lost))
+    return want
+
+
+def test_passage_dedup_takes_whole_runs(spark, docs, none):
+    """Against every run of lines of every text: what was found before goes, and all that line_dedup takes."""
+    shared = [[prose(n, n) for _ in range(k)] for k, n in ((2, 30), (3, 18), (4, 15), (6, 10), (1, 55)) for _ in range(6)]
+    shared.append([prose(20, 20), "", *(prose(9, 9) for _ in range(5)), " \t", prose(12, 12)])
+    texts = []
+    for _ in range(2):
+        for p in shared:
+            texts.append("\n".join([*(prose(9, 9) for _ in range(rng.randint(0, 4))), *p, *(prose(9, 9) for _ in range(rng.randint(0, 4)))]))
+    texts += ["\n".join(shared[7] * 2), "\n".join(["a b c d e f g"] * 12), "\n" * 80, None, ""]
+    want = without_repeats(texts)
     df = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
     got = {r.doc_id: r for r in linededup.passage_dedup(df).collect()}
     assert [got[i].text or "" for i in range(len(texts))] == want
@@ -719,7 +725,7 @@ def test_class_counts():
     assert dict(zip(textstats.CLASSES, textstats.class_counts("aB1 \n.,!#é~".encode()).tolist())) == {"lower": 1, "upper": 1, "digit": 1, "blank": 1, "newline": 1, "stop": 2, "mark": 1, "symbol": 1, "other": 1, "beyond": 1}
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -729,3 +735,77 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
     assert out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_scores_are_sums_of_lookups():
+    """The classifier's vectorised score against one row and one table at a time."""
+    r = np.random.default_rng(3)
+    x = r.random((500, len(gam.FEATURES)))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2]) > 0.8).astype(float)
+    model = gam.fit(x, y)
+    assert model.pairs
+    for row, got in zip(x[:60], model.score(x[:60])):
+        total = model.intercept
+        for j, edges in enumerate(model.edges):
+            total += model.tables[j][sum(e <= row[j] for e in edges)]
+        for (i, j), grid in zip(model.pairs, model.pair_tables):
+            total += grid[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_pipeline_by_plain_loops(spark, tmp_path):
+    """Each stage, on what the one before it kept, against a plain version; extra columns come through."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    shared = prose(60, 20)
+    texts = [prose(rng.randint(60, 260), 60) for _ in range(70)]
+    texts += [texts[3], texts[3], texts[5].replace(texts[5].split()[9], "changed"), f"{prose(70, 30)}\n{shared}\n{prose(40, 20)}", f"{prose(80, 25)}\n{shared}"]
+    texts += [f"{prose(50, 50)} {ITEM} {prose(30, 30)}" for _ in range(3)]
+    texts += [" ".join(w + "***" for w in prose(rng.randint(60, 200)).split()) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 0.5, "x", 7, i) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    labels = [(i, int("***" not in t), 0) for i, t in enumerate(texts) if t]
+    for name, df in (("documents", docs), ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ("benchmark", bench_rows(spark))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    sf, now = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+        now.write.parquet(str(tmp_path / name.replace(" ", "_")))
+        now = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        out.append(now)
+    held = [{r.doc_id: r for r in df.collect()} for df in out[:4]]
+    assert all(df.columns == docs.columns for df in out[:4]) and all(r.n_chunks == 7 and r.label == i for h in held for i, r in h.items())
+    model = gam.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    score = {i: model.score(np.array([gam.features(t.encode() if t else None)]))[0] for i, t in enumerate(texts)}
+    assert set(held[0]) == {i for i, s in score.items() if s >= gam.THRESHOLD} and {i for i, t in enumerate(texts) if t and "***" in t}.isdisjoint(held[0])
+    order = sorted(held[0])
+    assert [held[1][i].text or "" for i in order] == without_repeats([held[0][i].text for i in order])
+    pairs, nodes = near_pairs([held[1][i].text or "" for i in order])
+    root = united([p[:2] for p in pairs], nodes)
+    first = {}
+    for i in order:
+        first.setdefault(root[simhash.content_prints((held[1][i].text or "").encode())[0]], i)
+    assert set(held[2]) == set(first.values()) and all(held[2][i].text == held[1][i].text for i in held[2])
+    windows = {tuple(w[i : i + 10]) for r in bench_rows(spark).collect() for w in [alnum(r.text)] for i in range(max(1, len(w) - 9)) if w}
+    for i, r in held[3].items():
+        before, hit = alnum(held[2][i].text), set()
+        for size in {len(x) for x in windows}:
+            for at in range(len(before) - size + 1):
+                if tuple(before[at : at + size]) in windows:
+                    hit.update(range(at, at + size))
+        assert alnum(r.text) == [w for k, w in enumerate(before) if k not in hit] and r.n_chars == (None if r.text is None else len(r.text))
+    whole = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    ids = {i: np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for i, r in held[3].items()}
+    want = sorted((i, n, at, len(x[at : at + 2048]), zlib.crc32(x[at : at + 2048].tobytes())) for i, x in ids.items() for n, at in enumerate(range(0, len(x), 2048)))
+    packed = out[4].collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    fill = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert fill.get(r.sequence_id, 0) == r.offset
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(len(x) for x in ids.values()) // 2048) + 1
+    again = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in again) == want
