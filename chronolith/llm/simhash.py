@@ -31,6 +31,8 @@ SHARD = 1024
 EXPECTED = 64
 #: Members of a part where texts are compared.
 LATE = 256
+#: Rows of a few numbers each that are sent to all executors, at most; more are dealt out by key.
+FEW = 500_000
 #: Near-duplicate groups: independent fingerprints of a document, and the least cosine of five-word shingle sets.
 PRINTS, SHINGLE, SIMILAR = 6, 5, 0.8
 #: Segments of a text that are compared whole: so many, of so many words on average and at least.
@@ -260,6 +262,11 @@ def content_prints(text: bytes | None) -> tuple[int, bytes, bytes]:
     return node, np.packbits(sums * 2 > total).tobytes(), segments(words)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows, to be broadcast if they are at most FEW: then texts that have no part in a join stay where they are."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _packed(text: bytes | None) -> bytes | None:
     return None if text is None else zstandard.compress(text, 1)
 
@@ -391,7 +398,8 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
     named = cut(members.select("shard", "fp", "node", "label", "sig", "f", "t", "tree", "asks").mapInArrow(
         lean(name), "shard bigint, fp bigint, node bigint, label bigint, sig binary, f int, t int, tree boolean, asks boolean"
     ))
-    told = named.join(texts.select("node", "text"), "node").repartition("shard").sortWithinPartitions("shard", "node")
+    some = texts.select("node", "text").join(_few(cut(named.select("node").distinct())), "node", "left_semi")
+    told = named.join(some, "node").repartition("shard").sortWithinPartitions("shard", "node")
     return told.select(*named.columns, "text").mapInArrow(lean(compare), "u bigint, v bigint")
 
 
@@ -441,8 +449,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.min_by(F.struct("sig", "segs", "size", "text"), "size").alias("x")
     kept = written(signed.groupBy("node").agg(first).select("node", "x.*"), "prints")
     pairs = cut(_pairs(kept.select("node", "sig"), radius).union(_segment_pairs(kept.select("node", "sig", "segs", "size"))).distinct())
-    left = pairs.join(kept.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = left.join(kept.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    left = kept.select(F.col("node").alias("u"), F.col("text").alias("a")).join(_few(pairs), "u")
+    ends = _few(cut(pairs.select("v").distinct()))
+    both = left.join(kept.select(F.col("node").alias("v"), F.col("text").alias("b")).join(ends, "v", "left_semi"), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 200):
@@ -478,24 +487,25 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other; a null id comes after all others.
     """
     root = near_duplicate_groups(docs)
-    names = [c for c in docs.columns if c != "text"]
-    node_, key_, id_ = (free_name(c, docs.columns) for c in ("__node", "__key", "__id"))
+    key_, id_, n_ = (free_name(c, docs.columns) for c in ("__key", "__id", "__n"))
+    rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("key"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            got = [xxhash.xxh64_intdigest(b" ".join((t or b"").translate(ALNUM_TABLE).split()), 0) for t in utf8(b.column("text"))]
-            node = pa.array(np.array(got, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, node_])
+            got = [xxhash.xxh64_intdigest(b" ".join((t or b"").translate(ALNUM_TABLE).split()), 0) for t in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(got, np.uint64).view(np.int64))], names=["doc_id", "key", "node"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(lean(scan), f"{schema}, `{node_}` bigint")
     # the best row of each word sequence, then of each group; ranks carry no text
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("key")).alias("rank")
-    best = marked.select(F.col(node_).alias("node"), rank).groupBy("node").agg(F.min("rank").alias("rank"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key").alias("rank")
+    marked = rows.mapInArrow(lean(scan), f"doc_id {kind}, key bigint, node bigint").select("node", rank)
+    best = marked.groupBy("node", "rank").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("rank", "n")).alias("best"))
     named = best.join(root, "node", "left")
-    chosen = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("rank", "node")).alias("best"))
-    chosen = cut(chosen.select(F.col("best.rank.key").alias(key_), F.col("best.rank.id").alias(id_)).distinct())
-    only = docs.withColumn(key_, F.xxhash64(*docs.columns)).join(chosen, key_)
-    only = only.where(F.col("doc_id").eqNullSafe(F.col(id_)))
+    chosen = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    chosen = cut(chosen.select(F.col("best.rank.key").alias(key_), F.col("best.rank.id").alias(id_), F.col("best.n").alias(n_)))
+    only = docs.withColumn(key_, F.xxhash64(*docs.columns)).join(_few(chosen), key_).where(F.col("doc_id").eqNullSafe(F.col(id_)))
+    if chosen.where(F.col(n_) > 1).isEmpty():
+        return only.select(*docs.columns)
     # rows alike in every column are copies too: one of them stays
-    return only.dropDuplicates([*names, key_]).select(*docs.columns)
+    many = only.where(F.col(n_) > 1).select(*docs.columns, key_).dropDuplicates([*(c for c in docs.columns if c != "text"), key_])
+    return only.where(F.col(n_) == 1).select(*docs.columns).unionByName(many.select(*docs.columns))
