@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import cut, free_name
+from chronolith.llm.common import cut, free_name, written
 
 #: One in so many lines ends a chunk; words of a long line; words of a chunk that may go.
 EVERY, PASSAGE, LEAST = 2, 50, 20
@@ -58,14 +58,21 @@ def chunked(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("__lines", "__hash", "__long", "__n", "__ends")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    keyed = docs.select("doc_id", "text", *_key(docs))
-    out = chunked(keyed).select("doc_id", "__a", "__b", F.posexplode("__chunks").alias("at", "chunk"))
-    return out.where("chunk.may").select(
-        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b", "at").alias("place"),
-        F.col("chunk.text").alias("chunk"),
-        F.xxhash64("chunk.text").alias("digest"),
-    )
+def _core(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns in one, ``__row``, so that no name of theirs meets one in use here."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("__row"))
+
+
+def _unfolded(df: DataFrame, docs: DataFrame, *more: Column) -> DataFrame:
+    """df, which has ``doc_id, text, __row``, with the columns of docs; ``n_chars`` follows the text."""
+    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": size}
+    return df.select(*(own[c].alias(c) if c in own else F.col(f"__row.`{c}`").alias(c) for c in docs.columns), *more)
+
+
+def _place(at: Column) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b", at.alias("at")).alias("place")
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -98,28 +105,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     byte. ``n_chars``, where there is one, follows the text. No row goes; an empty table gives none. Where docs has a column named
     ``n_chunks`` or ``n_removed`` it stays, and the new one has an underscore behind its name.
     """
-    names = docs.columns
-    added = [free_name(c, names) for c in ("n_chunks", "n_removed")]
-    groups = _occurrences(docs).groupBy("chunk", "digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    added = [free_name(c, docs.columns) for c in ("n_chunks", "n_removed")]
+    # texts are cut once; what is written has the chunks in their place
+    table = written(chunked(_copies(_core(docs))[0]).withColumn("__null", F.col("text").isNull()).drop("text"), "chunks")
+    chunk = table.select("doc_id", "__a", "__b", F.posexplode("__chunks").alias("at", "chunk")).where("chunk.may")
+    chunk = chunk.select(_place(F.col("at")), F.col("chunk.text").alias("chunk"), F.xxhash64("chunk.text").alias("digest"))
+    groups = chunk.groupBy("chunk", "digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     # Bytes are compared by the grouping; an occurrence then finds its group by two independent digests.
     groups = cut(groups.where("n > 1").select("digest", F.sha1("chunk").alias("check"), "first"))
-    met = _occurrences(docs).select("place", "digest", F.sha1("chunk").alias("check"))
+    met = chunk.select("place", "digest", F.sha1("chunk").alias("check"))
     met = met.join(groups, ["digest", "check"]).where("place <> first")
     gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set("place.at").alias("__gone")))
-    keyed = chunked(_copies(docs)[0].join(gone, ["__a", "__b"], "left"))
     count = F.size("__chunks")
     places = F.sequence(F.lit(0), count - 1)
     lost = F.when(F.col("__copy"), F.filter(places, lambda i: F.get("__chunks", i)["may"])).otherwise(F.col("__gone"))
-    keyed = _held(keyed, __lost=F.coalesce(lost, F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__lost"))
-    text = F.when(F.size("__lost") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__chunks", i)["text"]), "\n"))
-    out = keyed.select(
-        *(c for c in names if c != "text"), text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(count).cast("bigint").alias(added[0]), F.size("__lost").cast("bigint").alias(added[1]),
-    )
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names, *added)
+    out = _held(table.join(gone, ["__a", "__b"], "left"), __lost=F.coalesce(lost, F.array().cast("array<int>")))
+    kept = F.when(F.size("__lost") == 0, F.col("__chunks")).otherwise(F.transform(F.array_except(places, F.col("__lost")), lambda i: F.get("__chunks", i)))
+    out = out.withColumn("text", F.when(~F.col("__null"), F.array_join(F.transform(kept, lambda c: c["text"]), "\n")))
+    return _unfolded(out, docs, F.when(F.col("__null"), 0).otherwise(count).cast("bigint").alias(added[0]), F.size("__lost").cast("bigint").alias(added[1]))
 
 
 def _passages(df: DataFrame) -> DataFrame:
@@ -150,23 +153,6 @@ def _passages(df: DataFrame) -> DataFrame:
     return _held(df, __runs=joined).drop("__lines", "__of", "__starts", "__ends")
 
 
-def _all_runs() -> Column:
-    """All chunks that may go and all least runs of a row, as (text, first line, last line)."""
-    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
-    return F.array_union(chunks, F.col("__runs"))
-
-
-def _runs(docs: DataFrame) -> DataFrame:
-    """``place, b, digest``: all chunks that may go and all least runs of ``PASSAGE`` words, with their last lines."""
-    keyed = _passages(chunked(docs.select("doc_id", "text", *_key(docs))))
-    out = keyed.select("doc_id", "__a", "__b", F.explode(_all_runs()).alias("run"))
-    return out.select(
-        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b", F.col("run.a").alias("at")).alias("place"),
-        F.col("run.b").alias("b"),
-        F.unhex(F.sha1("run.text")).alias("digest"),
-    )
-
-
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without the lines of repeated chunks and of repeated runs of ``PASSAGE`` words or more.
 
@@ -175,24 +161,21 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     run's ends, or beside a line of ``PASSAGE`` words, may stay. Nulls, other rows and ``n_chars`` are
     treated as by :func:`line_dedup`.
     """
-    names = docs.columns
-    groups = _runs(docs).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    # runs are found once; what is written has their digests beside the text
+    found = _passages(chunked(_copies(_core(docs))[0]))
+    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
+    digests = F.transform(F.array_union(chunks, F.col("__runs")), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.unhex(F.sha1(r["text"])).alias("digest")))
+    table = written(found.withColumn("__found", digests).drop("__chunks", "__runs"), "runs")
+    runs = table.select("doc_id", "__a", "__b", F.explode("__found").alias("run")).select(_place(F.col("run.a")), F.col("run.b").alias("b"), F.col("run.digest").alias("digest"))
+    groups = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     groups = cut(groups.where("n > 1").select("digest", "first"))
-    met = _runs(docs).join(groups, "digest").where("place <> first")
+    met = runs.join(groups, "digest").where("place <> first")
     gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set(F.struct(F.col("place.at").alias("a"), "b")).alias("__gone")))
-    marked, alike = _copies(docs)
-    keyed, own = marked.join(gone, ["__a", "__b"], "left"), F.col("__gone")
-    if alike:
-        # a copy loses all that its first row was found to have
-        keyed = _passages(chunked(keyed))
-        own = F.when(F.col("__copy"), F.transform(_all_runs(), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).otherwise(own)
-    lines = F.split("text", "\n", -1)
-    keyed = _held(keyed, __spans=own)
+    # a copy loses all that its first row was found to have
+    own = F.when(F.col("__copy"), F.transform("__found", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")))).otherwise(F.col("__gone"))
+    keyed = _held(table.join(gone, ["__a", "__b"], "left"), __spans=own)
     lost = F.flatten(F.transform("__spans", lambda x: F.sequence(x["a"], x["b"])))
-    keyed = _held(keyed, __lines=F.when(F.size("__spans") > 0, lines), __lost=F.array_distinct(lost))
+    keyed = _held(keyed, __lines=F.when(F.size("__spans") > 0, F.split("text", "\n", -1)), __lost=F.array_distinct(lost))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    out = keyed.select(*(c for c in names if c != "text"), text.alias("text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return _unfolded(keyed.withColumn("text", text), docs)

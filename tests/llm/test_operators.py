@@ -414,6 +414,11 @@ def test_line_dedup(spark, docs, none):
     order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(want, key=order)
     assert linededup.line_dedup(none).count() == 0
+    # names in use inside stay with their values
+    odd = spark.createDataFrame([(1, f"{LONG}\nx", 5, 6, 7), (2, LONG, 8, 9, None)], "doc_id long, text string, __a int, __chunks int, __row int")
+    for dedup in (linededup.line_dedup, linededup.passage_dedup):
+        got = sorted(dedup(odd).collect(), key=lambda r: r.doc_id)
+        assert [tuple(r)[2:5] for r in got] == [(5, 6, 7), (8, 9, None)] and got[0].text == f"{LONG}\nx" and got[1].text != LONG
     # rows alike in everything, or in id and text: one keeps what repeats
     twice = spark.createDataFrame([(1, LONG, i % 2) for i in range(6)] + [(2, LONG, 0)], "doc_id long, text string, other int").repartition(4)
     for dedup in (linededup.line_dedup, linededup.passage_dedup):
