@@ -119,7 +119,8 @@ def oracle_sql() -> dict[str, str]:
     applied = f"{delta}, ins AS (WITH {SEGMENTS}{MERGE}), app AS (SELECT {COLS} FROM cur EXCEPT ALL SELECT {COLS} FROM hit UNION ALL {expired} UNION ALL SELECT {COLS} FROM ins)"
     return {
         "normalize_infinity": f"{base} SELECT o_custkey, o_orderstatus, o_totalprice, effective_from, CASE WHEN o_custkey % 3 < 2 THEN {INF} ELSE effective_to END AS effective_to, as_of_from, {INF} AS as_of_to FROM cur",
-        "validate_and_align": f"{base} SELECT {COLS} FROM raw",
+        "validate_and_align": f"{base} SELECT {COLS}, 'current' AS side FROM cur UNION ALL SELECT {COLS}, 'updates' FROM raw",
+        "schema_checks": f"SELECT unnest(string_split('{COLS}, note', ', ')) AS without, unnest(string_split('{COLS}, note', ', ')) = 'note' AS valid",
         "hash_sha256_values": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 2 = 0 AS even, sha256({LE('o_orderkey')} || {LE('o_custkey')} || encode(o_orderstatus) || CASE WHEN o_orderkey % 2 = 0 THEN '\\x01'::BLOB ELSE '\\x00'::BLOB END) AS value_hash FROM orders",
         "hash_xxh64_values": f"SELECT o_orderkey, o_custkey, o_orderstatus, even, printf('%016x', h) AS value_hash FROM ({xxh64('(SELECT *, o_orderkey % 2 = 0 AS even FROM orders)', ['o_orderkey', 'o_custkey'], ['ascii(o_orderstatus)', 'even::INT'])})",
         "hash_typed_values": f"WITH {TYPED} SELECT l_orderkey, l_linenumber, sha256({LE('l_quantity::BIGINT')} || {LE('bits')} || {LE('(l_shipdate::DATE - DATE \'1970-01-01\')::BIGINT', 4)} || {LE('epoch_us(l_shipdate)')} || {LE('round(l_tax * 100)::BIGINT')} || {LE('0::BIGINT')} || CASE WHEN l_linenumber = 3 THEN 'NULL'::BLOB ELSE {LE('l_linenumber::BIGINT')} END || 'NULL'::BLOB) AS value_hash FROM c",

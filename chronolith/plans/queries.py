@@ -44,9 +44,17 @@ def normalize_infinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides, with the columns that both have, in one order."""
     current, updates = current_state(spark, sf_dir).withColumn("note", F.lit("x")), update_batch(spark, sf_dir)
-    assert validate_schema(current, IDS, VALUES) and not validate_schema(current, IDS, ["price"])
-    return align(current, updates)[1]
+    sides = align(current, updates.select(*reversed(updates.columns)))
+    return sides[0].withColumn("side", F.lit("current")).union(sides[1].withColumn("side", F.lit("updates")))
+
+
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the current state is a valid input without each of its columns."""
+    current = current_state(spark, sf_dir).withColumn("note", F.lit("x"))
+    rows = [(c, validate_schema(current.drop(c), IDS, VALUES)) for c in current.columns]
+    return spark.createDataFrame(rows, "without string, valid boolean")
 
 
 def hash_values(name: str) -> Query:
@@ -165,7 +173,7 @@ def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "normalize_infinity": normalize_infinity, "validate_and_align": validate_and_align,
+        "normalize_infinity": normalize_infinity, "validate_and_align": validate_and_align, "schema_checks": schema_checks,
         "hash_sha256_values": hash_values("sha256"), "hash_xxh64_values": hash_values("xxhash"), "hash_typed_values": hash_typed_values,
         "no_change_updates": no_change_updates, "overlap_pairs": pairs(False), "adjacent_pairs": pairs(True),
         "affected_current": affected_current, "categorize_updates": categorize_updates,
