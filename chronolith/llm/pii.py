@@ -330,7 +330,7 @@ def _added(docs: DataFrame, mentions: DataFrame) -> DataFrame | None:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id``, base counts of each kind, ``base_sha256``, and ``spans`` (base and added ones).
+    """``doc_id``, base counts of each kind, ``base_sha256``, ``spans`` (base and added ones) and their number.
 
     Offsets count code points, ends exclusive. Added spans are of the base kinds or ``secret``; one that overlaps an
     added span before it is left out, base spans stay as they are. Null texts count as empty. Repeated rows each give a
@@ -350,4 +350,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
         out = out.withColumn("all", F.array_sort(F.when(F.col("added").isNull(), F.col("all")).otherwise(F.concat("all", "added"))))
     names = F.array(*map(F.lit, NAMES))
     text = F.array_join(F.transform("all", lambda m: F.concat_ws(":", F.get(names, m["kind"]), m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base"), 256).alias("base_sha256"), text.alias("spans"))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base"), 256).alias("base_sha256"), text.alias("spans"), F.size("all").cast("bigint").alias("n_spans"))

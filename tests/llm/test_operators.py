@@ -555,6 +555,7 @@ def test_pii_learns_contexts(spark):
     found = pii.personal_data(spark.createDataFrame([*seeds, *keys, *mails, *others, others[0]], "doc_id long, text string").repartition(3)).collect()
     by = {r.doc_id: r.spans for r in found}
     assert len(found) == len(seeds) + len(keys) + len(mails) + len(others) + 1
+    assert all(r.n_spans == len(r.spans.split(",")) * (r.spans != "") for r in found)
     assert by[99] == "phone:19:29" and by[98] == by[97] == by[95] == by[93] == by[92] == ""
     assert by[96] == "secret:13:29" and by[94] == "email:14:37"
     assert all(by[i].startswith("phone:") and "," not in by[i] for i in range(30))
