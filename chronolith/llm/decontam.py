@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ALNUM_TABLE, bounded, free_name, ship, utf8, written
+from chronolith.llm.common import ALNUM_TABLE, bounded, free_name, lean, ship, utf8, written
 
 WINDOW, STEP = 10, 8
 #: Bytes of benchmark that are broadcast at once; rows and bytes of a shard, at most (a longer text is a shard).
@@ -249,7 +249,7 @@ def _found(docs: DataFrame, sent, every: bool) -> DataFrame:
             )
             yield out if every else out.filter(pa.array([bool(i) for i in items]))
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, a bigint, b int, n_words bigint, {SPANS}")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, a bigint, b int, n_words bigint, {SPANS}")
 
 
 def _united(spans: Column) -> Column:
@@ -343,7 +343,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
-    out = rows.mapInArrow(scan, docs.schema)
+    out = rows.mapInArrow(lean(scan), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import free_name, pieces, ship, utf8
+from chronolith.llm.common import free_name, lean, pieces, ship, utf8
 from chronolith.llm.rules import _place
 from chronolith.llm.textstats import base
 
@@ -158,7 +158,7 @@ def _measured(docs: DataFrame, carried: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), x], names=[*carried, "x"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(scan, f"{schema}, x array<double>")
+    return rows.mapInArrow(lean(scan), f"{schema}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5) -> Model:
@@ -202,7 +202,7 @@ def _scored(docs: DataFrame, model: Model, threshold: float, carried: list[str],
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = "".join(f"`{c}` {kinds[c]}, " for c in carried)
-    return rows.mapInArrow(scan, f"{schema}`{added[0]}` double, `{added[1]}` int")
+    return rows.mapInArrow(lean(scan), f"{schema}`{added[0]}` double, `{added[1]}` int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -123,30 +123,39 @@ def _unmarked(bits: bytes, others: bytes, usual: np.ndarray) -> np.ndarray:
 def _block_scores(ids: pa.Array, texts: list[bytes | None], told: pa.Table, order: int, bits: int) -> pa.Table:
     """The sums of one block's texts, from the corpus' counts of the block's keys."""
     text, word, keys, valid = _keyed(texts, order, bits)
-    place = [np.flatnonzero(v) for v in valid]
-    every = np.concatenate([k[p] for k, p in zip(keys, place)])
-    of = np.concatenate([text[p] for p in place])
+    every = np.concatenate([k[v] for k, v in zip(keys, valid)])
+    of = np.concatenate([text[v] for v in valid]).astype(np.int32)
+    del keys
+    # large arrays are dropped as soon as they have served: a long text is a block by itself
     sort = np.argsort(every)
-    new = np.r_[True, every[sort][1:] != every[sort][:-1]][: len(every)]
-    rank = np.empty(len(every), np.int64)
-    rank[sort] = np.cumsum(new) - 1
-    # once more, so that the occurrences of a key in one text are neighbours
-    pair = rank * len(texts) + of
-    sort = np.argsort(pair)
-    own = np.flatnonzero(np.r_[True, pair[sort][1:] != pair[sort][:-1]][: len(every)])
+    every = every[sort]
+    new = np.r_[True, every[1:] != every[:-1]][: len(every)]
     counts = np.diff(np.r_[np.flatnonzero(new), len(every)])
+    rank = np.empty(len(every), np.int32)
+    rank[sort] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del every, sort, new
     total = np.r_[np.int64(word.sum()), counts]
     at = 0
     for size, mark, others in zip(*(told.column(c).to_pylist() for c in ("size", "mark", "total"))):
         total[at : at + size] = _unmarked(mark, others, total[at : at + size])
         at += size
+    # the occurrences of a key in one text, made neighbours
+    pair = rank.astype(np.int64) * len(texts) + of
+    sort = np.argsort(pair)
+    pair = pair[sort]
+    runs = np.diff(np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)]), len(pair)]).astype(np.int32)
+    del pair, of
+    own = np.empty(len(sort), np.int32)
+    own[sort] = np.repeat(runs, runs)
+    del sort, runs
     # how often the k-gram that ends at a token occurs outside of its text
-    left = np.empty(len(every), np.int64)
-    left[sort] = total[1:][rank[sort]] - np.repeat(np.diff(np.r_[own, len(every)]), np.diff(np.r_[own, len(every)]))
+    left = total[1:][rank] - own
+    del rank, own
     others = []
-    for p in place:
+    for v in valid:
         others.append(np.zeros(len(text), np.int64))
-        others[-1][p], left = left[: len(p)], left[len(p) :]
+        size = int(v.sum())
+        others[-1][v], left = left[:size], left[size:]
     n = np.bincount(text[word], minlength=len(texts)).astype(np.int64)
     rest = np.maximum(total[0] - n[text], 1)
     score = np.where(others[0] > 0, others[0], BACKOFF) / rest
@@ -225,17 +234,18 @@ def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
     def send(block: pa.Table) -> pa.Table:
         _, word, keys, valid = _keyed(_texts(block), order, bits)
         key, n = _table(keys, valid, word)
-        bucket = (key >> np.uint64(bits - fine)).astype(np.int64) if fine else np.zeros(len(key), np.int64)
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        cuts = list(zip(edges.tolist(), edges[1:].tolist()))
-        first = bucket.astype(np.uint64) << np.uint64(bits - fine) if fine else np.zeros(len(key), np.uint64)
+        del keys, valid, word
+        first = np.arange(1 << fine, dtype=np.uint64) << np.uint64(bits - fine) if fine else np.zeros(1, np.uint64)
+        edges = np.r_[np.searchsorted(key, first), len(key)].tolist()
+        held = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        cuts = [(a, b) for _, a, b in held]
         marks = [_marked(n[a:b], 1) for a, b in cuts]
         out = pa.Table.from_arrays(
-            [pa.array(bucket[edges[:-1]]), pa.repeat(block.column("block")[0], len(cuts)), pa.array([b - a for a, b in cuts], pa.int64()),
-             pa.array([_packed(np.diff(key[a:b], prepend=first[a])) for a, b in cuts], pa.binary()), pa.array([m for m, _ in marks], pa.binary()), pa.array([o for _, o in marks], pa.binary())],
+            [pa.array([k for k, _, _ in held], pa.int64()), pa.repeat(block.column("block")[0], len(cuts)), pa.array([b - a for a, b in cuts], pa.int64()),
+             pa.array([_packed(np.diff(key[a:b], prepend=first[k])) for k, a, b in held], pa.binary()), pa.array([m for m, _ in marks], pa.binary()), pa.array([o for _, o in marks], pa.binary())],
             names=["bucket", "block", "size", "keys", "mark", "n"],
         )
-        del key, n, keys, valid, first, bucket, word
+        del key, n, marks, held
         give_back()
         return out
 

@@ -15,6 +15,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import bounded, cut, ship, utf8, written
+from chronolith.llm.common import bounded, cut, lean, ship, utf8, written
 
 SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Tokens and pieces of a window, and white-space separated strings kept with their ids, at most.
-WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 2_000_000
+WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 800_000
 #: Parts of a lower-cased string of Latin letters, digits and signs that the tokenizer treats one by one.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sa-z0-9\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Strings that PARTS covers: others go through the whole tokenizer.
 COVERED = re.compile("[\x21-\x7e\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,40}")
 #: One word of Latin letters, with a stop or comma behind it or not: by far most strings.
 PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,]?$"
-#: Bytes of a string that is kept between calls, and of the texts of a call, at most.
-LONG, CALL_BYTES = 160, 6_000_000
+#: Ids kept with the strings, bytes of a string that is kept, and bytes of the texts of a call, at most.
+KEPT_IDS, LONG, CALL_BYTES = 6_000_000, 160, 4_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -157,7 +158,7 @@ def _ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 class Tokens:
     """Ids of whole texts, by a tokenizer that never looks across white space.
 
-    Arrow cuts texts into strings, numbers them, and looks each distinct one up among those met before. New
+    Arrow cuts texts into strings and numbers them; each distinct one is looked up among those met before. New
     ones of Latin letters, digits and signs are cut as the tokenizer cuts them and merged together in arrays; any
     other goes through the tokenizer itself. ``start`` and ``length`` are each known string's run of ids in the pool.
     """
@@ -169,28 +170,31 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([""], pa.string())
+        self.known: dict[bytes, int] = {b"": 0}
         self.start, self.length, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _numbers(self, strings: list[bytes]) -> np.ndarray:
+        """Of each string its number, -1 if it is not known."""
+        return np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def _ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool, and the run in it of each of some distinct parts, which are strings too."""
-        at = pc.index_in(parts, value_set=self.known)
-        fresh = at.is_null()
-        made = self.merges(utf8(parts.filter(fresh)))
+        at = self._numbers(parts)
+        fresh = np.flatnonzero(at < 0)
+        made = self.merges([parts[i] for i in fresh.tolist()])
         size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        at, fresh = at.fill_null(0).to_numpy(), fresh.to_numpy(zero_copy_only=False)
         start, length = self.start[at], self.length[at]
         start[fresh], length[fresh] = len(self.pool) + np.cumsum(size) - size, size
-        return np.r_[self.pool, np.frombuffer(b"".join(made), np.uint32)], start, length
+        return np.concatenate([self.pool, np.frombuffer(b"".join(made), np.uint32)]), start, length
 
     def _learn(self, strings: pa.Array) -> None:
         plain = pc.and_(pc.match_substring_regex(strings, PLAIN), pc.less_equal(pc.utf8_length(strings), 40))
         some = strings.filter(plain)
         sign = np.select([pc.ends_with(some, x).to_numpy(zero_copy_only=False) for x in ".,"], [1, 2], 0)
         body = pc.utf8_rtrim(pc.utf8_lower(some), ".,").dictionary_encode()
-        signs = pa.array(["", ".", ","])
-        pool, start, length = self._ids(pa.concat_arrays([body.dictionary, signs]))
-        n = len(body.dictionary)
+        bodies = utf8(body.dictionary)
+        pool, start, length = self._ids([*bodies, b"", b".", b","])
+        n = len(bodies)
         # a body's ids, then its sign's
         at = np.stack([body.indices.to_numpy(), n + sign], 1).ravel()
         joined = _ragged(pool, start[at], length[at])
@@ -199,9 +203,8 @@ class Tokens:
         size[is_plain] = length[at].reshape(-1, 2).sum(1)
         # the others: parts where they can be cut, else the tokenizer's ids, which join the pool as parts of their own
         rest = [self._cut(x) for x in strings.filter(pc.invert(plain)).to_pylist()]
-        parts = pa.array(sorted({p for x in rest if isinstance(x, list) for p in x}), pa.string())
-        pool, start, length = self._ids(parts)
-        number = {p: i for i, p in enumerate(parts.to_pylist())}
+        number = {p: i for i, p in enumerate(sorted({p for x in rest if isinstance(x, list) for p in x}))}
+        pool, start, length = self._ids([p.encode() for p in number])
         told = [x for x in rest if not isinstance(x, list)]
         size_told = np.fromiter(map(len, told), np.int64, len(told))
         start = np.r_[start, len(pool) + np.cumsum(size_told) - size_told]
@@ -215,9 +218,9 @@ class Tokens:
         place = np.zeros(len(strings), np.int64)
         place[is_plain] = np.cumsum(size[is_plain]) - size[is_plain]
         place[~is_plain] = len(joined) + np.cumsum(size[~is_plain]) - size[~is_plain]
-        self.known = pa.concat_arrays([self.known, strings])
+        self.known.update(zip(utf8(strings), range(len(self.start), len(self.start) + len(strings))))
         self.start, self.length = np.r_[self.start, len(self.pool) + place], np.r_[self.length, size]
-        self.pool = np.concatenate([self.pool, joined, other]).astype(np.uint32)
+        self.pool = np.concatenate([self.pool, joined, other], dtype=np.uint32)
 
     def _cut(self, text: str) -> list[str] | np.ndarray:
         """A string's parts, or its ids where only the tokenizer can tell."""
@@ -229,28 +232,22 @@ class Tokens:
         """Ids of each text. What is kept between calls is bounded by KEPT strings and those of one call."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        strings = coded.dictionary
-        at = pc.index_in(strings, value_set=self.known)
-        if at.null_count:
-            if len(self.known) + at.null_count > KEPT:
+        strings = utf8(coded.dictionary)
+        at = self._numbers(strings)
+        new = at < 0
+        if new.any():
+            if len(self.known) + int(new.sum()) > KEPT or len(self.pool) > KEPT_IDS:
                 self._forget()
-                at = pc.index_in(strings, value_set=self.known)
-            new, before = at.is_null(), len(self.known)
-            self._learn(strings.filter(new))
-            at = at.fill_null(0).to_numpy().astype(np.int64)
-            new = new.to_numpy(zero_copy_only=False)
-            at[new] = before + np.arange(int(new.sum()))
-        else:
-            at = at.to_numpy().astype(np.int64)
+                at = self._numbers(strings)
+                new = at < 0
+            at[new] = len(self.start) + np.arange(int(new.sum()))
+            self._learn(coded.dictionary.filter(pa.array(new)))
         each = at[coded.indices.to_numpy()]
         length = self.length[each]
         ids = _ragged(self.pool, self.start[each], length)
         cuts = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
-        if pc.max(pc.binary_length(strings)).as_py() > LONG:
-            short = pc.less_equal(pc.binary_length(self.known), LONG)
-            keep = short.to_numpy(zero_copy_only=False)
-            self.known, self.start, self.length = self.known.filter(short), self.start[keep], self.length[keep]
-            self.pool, self.start = _ragged(self.pool, self.start, self.length), np.cumsum(self.length) - self.length
+        for string in [x for x in strings if len(x) > LONG]:
+            del self.known[string]
         return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
 
@@ -352,7 +349,7 @@ def _by_task(docs: DataFrame, vocabulary: str, size: int, ids: bool) -> DataFram
             empty = [pa.nulls(len(left), t) for t in (known, pa.int32(), pa.int64(), pa.int64(), value, pa.int64())]
             yield pa.RecordBatch.from_arrays([empty[0], empty[1], pa.array(gap, pa.int64()), empty[2], pa.array([first + s for s in at], pa.int64()), empty[3], empty[4], empty[5]], names=names)
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, piece int, start bigint, length bigint, sequence_id bigint, `offset` bigint, {told}, number bigint")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, piece int, start bigint, length bigint, sequence_id bigint, `offset` bigint, {told}, number bigint")
 
 
 def _again(tails: DataFrame, size: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import cut, pieces, ship, written
+from chronolith.llm.common import cut, lean, pieces, ship, written
 
 #: The four base kinds, and what contexts alone tell.
 KINDS, SECRET = ("email", "ip", "card", "phone"), 4
@@ -236,7 +236,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "a", "b", *(f"n_{k}" for k in KINDS), "base", "mentions"],
             )
 
-    return written(rows.mapInArrow(scan, f"doc_id {kind}, a bigint, b int, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, mentions {MENTIONS}"), "pii")
+    return written(rows.mapInArrow(lean(scan), f"doc_id {kind}, a bigint, b int, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, mentions {MENTIONS}"), "pii")
 
 
 def _instances(docs: DataFrame, patterns: DataFrame) -> list[DataFrame]:
@@ -271,7 +271,7 @@ def _instances(docs: DataFrame, patterns: DataFrame) -> list[DataFrame]:
                 place = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(1).take(place), b.column(2).take(place), pa.array(got, MENTION.value_type)], names=["a", "b", "m"])
 
-        out.append(written(rows.mapInArrow(scan, f"a bigint, b int, m {MENTIONS[6:-1]}"), "instances"))
+        out.append(written(rows.mapInArrow(lean(scan), f"a bigint, b int, m {MENTIONS[6:-1]}"), "instances"))
         sent.unpersist()
     return out
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import pieces, ship, utf8, written
+from chronolith.llm.common import lean, pieces, ship, utf8, written
 from chronolith.llm.textstats import CLASSES, base
 
 #: Function words of the known languages (fixed values).
@@ -62,7 +62,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "lang", *counts, "classes", "common"],
             )
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in counts)}, classes array<bigint>, common array<int>")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in counts)}, classes array<bigint>, common array<int>")
 
 
 def _shares(classes: np.ndarray, common: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def _judged(counted: DataFrame, of: References) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near[0]), pa.array(near[1]), pa.array(far)], names=[*b.schema.names, "class_distance", "word_distance", "far"])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    return counted.mapInArrow(judge, f"{schema}, class_distance double, word_distance double, far boolean")
+    return counted.mapInArrow(lean(judge), f"{schema}, class_distance double, word_distance double, far boolean")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

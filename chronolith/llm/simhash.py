@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", t
             got = pa.array([fingerprint(t, shingle) for t in utf8(b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, fp bigint")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -187,7 +187,7 @@ def links(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["u", "v"])
 
     met = _meetings(rows, radius, prints.count() if n is None else n)
-    return met.mapInArrow(scan, "u bigint, v bigint").where("u <> v")
+    return met.mapInArrow(lean(scan), "u bigint, v bigint").where("u <> v")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -657,7 +657,7 @@ def test_tokens_equal_the_tokenizers(monkeypatch):
         texts += [None, "", " \t\n", rng.choice(VOCABULARY).title() + ", " + rng.choice(VOCABULARY) * 9, "x" * 50 + " <|endoftext|> End."]
         got = [x.tolist() for x in mine.many(pa.array(texts, pa.string()))]
         assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
-        assert len(mine.known) <= 400 and len(set(mine.known.to_pylist())) == len(mine.known) == len(mine.start)
+        assert len(mine.known) <= 400 and max(mine.known.values()) < len(mine.start) and max(map(len, mine.known)) <= 20
 
 
 def test_sum_of_squares_rule():
