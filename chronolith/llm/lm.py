@@ -28,6 +28,8 @@ from chronolith.llm.common import give_back, lean, ship, utf8
 BACKOFF, WORD_ORDER, START = 0.4, 3, 2
 #: Bytes of text of a block and of a bucket's share, at least; n-grams of a block's share of a packed row; bytes that a task deals at once.
 WORD_BYTES, ROW_KEYS, DEAL_BYTES = 4_000_000, 256, 16_000_000
+#: Blocks and buckets of a task, about.
+TASK_BLOCKS, TASK_BUCKETS = 2, 8
 #: Characters of scripts written without blanks (Thai to Burmese, and from the CJK radicals on) are words each.
 _SINGLE = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e-\x9f][\x80-\xbf]|[\xe3-\xed\xef][\x80-\xbf]{2}|\xe2[\xba-\xbf][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
@@ -227,9 +229,10 @@ def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
     size, words = rows.agg(F.sum(F.octet_length("text")), F.sum(blanks)).first()
     size, words = size or 0, words or 0
     count = max(1, size // max(WORD_BYTES, int((2 * ROW_KEYS * size) ** 0.5)))
-    fine = (4 * count).bit_length() - 1  # buckets by so many leading bits: several for a block, so that tasks get like shares
+    fine = (4 * count).bit_length() - 1  # buckets by so many leading bits, up to four for a block
     bits = key_bits(order * words)
-    blocks = _dealt(rows, count)
+    # tasks are as many as the corpus needs, whatever the session's count of shuffle partitions
+    blocks = _dealt(rows, count).repartition(-(-count // TASK_BLOCKS), "block")
 
     def send(block: pa.Table) -> pa.Table:
         _, word, keys, valid = _keyed(_texts(block), order, bits)
@@ -273,7 +276,7 @@ def word_scores(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
 
     # both uses of the blocks read the one exchange that deals them
     sent = blocks.groupBy("block").applyInArrow(send, "bucket bigint, block bigint, size bigint, keys binary, mark binary, n binary")
-    told = sent.groupBy("bucket").applyInArrow(add, "to bigint, bucket bigint, size bigint, mark binary, total binary")
+    told = sent.repartition(-(-(1 << fine) // TASK_BUCKETS), "bucket").groupBy("bucket").applyInArrow(add, "to bigint, bucket bigint, size bigint, mark binary, total binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = blocks.groupBy("block").cogroup(told.groupBy("to"))
     return out.applyInArrow(sums, f"doc_id {kind}, n_grams bigint, log_prob double, mean_log_prob double")
