@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _owned: dict[str, str] = {}
+_written: dict[int, str] = {}
 
 #: ASCII letters lowered, every ASCII byte that is neither letter nor digit turned into a blank.
 ALNUM_TABLE = bytes(
@@ -87,7 +88,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Remove a table that :func:`written` gave, once nothing is left to be computed from it."""
+    path = _written.pop(id(table), None)
+    if path:
+        _remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -23,12 +23,11 @@ def by_hub(rows: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame
     The rows of a hub would all meet in one task; there are 1 / HUB_SHARE hubs at most, so these are sent to all instead.
     """
     limit = max(HUB_LEAST, int(HUB_SHARE * total))
-    least = cut(least)
-    high = least.where(F.col("degree") > limit).drop("degree")
-    if total <= limit or high.isEmpty():
+    if total <= limit:
         return rows.join(least.drop("degree"), key)
+    high = F.broadcast(least.where(F.col("degree") > limit).drop("degree"))
     rest = rows.join(F.broadcast(high.select(key)), key, "left_anti").join(least.where(F.col("degree") <= limit).drop("degree"), key)
-    return rows.join(F.broadcast(high), key).unionByName(rest)
+    return rows.join(high, key).unionByName(rest)
 
 
 def _large(edges: DataFrame, total: int) -> DataFrame:

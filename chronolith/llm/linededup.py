@@ -153,6 +153,22 @@ def _passages(df: DataFrame) -> DataFrame:
     return _held(df, __runs=joined).drop("__lines", "__of", "__starts", "__ends")
 
 
+def _all_runs() -> Column:
+    """All chunks that may go and all least runs of a row, as (text, first line, last line)."""
+    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
+    return F.array_union(chunks, F.col("__runs"))
+
+
+def _runs(core: DataFrame) -> DataFrame:
+    """``place, b, digest``: all chunks that may go and all least runs of ``PASSAGE`` words, with their last lines.
+
+    They are found twice, to count them and to meet their groups: writing them would take as much disk as the texts.
+    """
+    keyed = _passages(chunked(core.select("doc_id", "text", *_key(core))))
+    out = keyed.select("doc_id", "__a", "__b", F.explode(_all_runs()).alias("run"))
+    return out.select(_place(F.col("run.a")), F.col("run.b").alias("b"), F.unhex(F.sha1("run.text")).alias("digest"))
+
+
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without the lines of repeated chunks and of repeated runs of ``PASSAGE`` words or more.
 
@@ -161,19 +177,19 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     run's ends, or beside a line of ``PASSAGE`` words, may stay. Nulls, other rows and ``n_chars`` are
     treated as by :func:`line_dedup`.
     """
-    # runs are found once; what is written has their digests beside the text
-    found = _passages(chunked(_copies(_core(docs))[0]))
-    chunks = F.transform(F.filter("__chunks", lambda c: c["may"]), lambda c: F.struct(c["text"].alias("text"), c["a"].alias("a"), c["b"].alias("b")))
-    digests = F.transform(F.array_union(chunks, F.col("__runs")), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.unhex(F.sha1(r["text"])).alias("digest")))
-    table = written(found.withColumn("__found", digests).drop("__chunks", "__runs"), "runs")
-    runs = table.select("doc_id", "__a", "__b", F.explode("__found").alias("run")).select(_place(F.col("run.a")), F.col("run.b").alias("b"), F.col("run.digest").alias("digest"))
+    core = _core(docs)
+    runs = _runs(core)
     groups = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     groups = cut(groups.where("n > 1").select("digest", "first"))
     met = runs.join(groups, "digest").where("place <> first")
     gone = cut(met.groupBy("place.__a", "place.__b").agg(F.collect_set(F.struct(F.col("place.at").alias("a"), "b")).alias("__gone")))
-    # a copy loses all that its first row was found to have
-    own = F.when(F.col("__copy"), F.transform("__found", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")))).otherwise(F.col("__gone"))
-    keyed = _held(table.join(gone, ["__a", "__b"], "left"), __spans=own)
+    marked, alike = _copies(core)
+    keyed, own = marked.join(gone, ["__a", "__b"], "left"), F.col("__gone")
+    if alike:
+        # a copy loses all that its first row was found to have
+        keyed = _passages(chunked(keyed))
+        own = F.when(F.col("__copy"), F.transform(_all_runs(), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).otherwise(own)
+    keyed = _held(keyed, __spans=own)
     lost = F.flatten(F.transform("__spans", lambda x: F.sequence(x["a"], x["b"])))
     keyed = _held(keyed, __lines=F.when(F.size("__spans") > 0, F.split("text", "\n", -1)), __lost=F.array_distinct(lost))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.bktree import Forest, labels_of, least_forest
-from chronolith.llm.common import ALNUM_TABLE, cut, free_name, lean, pieces, ship, utf8, written
+from chronolith.llm.common import ALNUM_TABLE, cut, dropped, free_name, lean, pieces, ship, utf8, written
 from chronolith.llm.graph import by_hub, components
 
 BITS, RADIUS = 64, 4
@@ -477,7 +477,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = kept.select("node", "sig").join(root, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label"))
     open_nodes = cut(named.join(unsettled, "label", "left_semi"))
     late = _late_links(open_nodes, kept, radius)
-    return components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
+    out = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
+    dropped(kept)  # what comes out is checkpointed
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
