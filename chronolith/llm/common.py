@@ -100,9 +100,15 @@ def dropped(table: DataFrame) -> None:
         _remove(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table with a reliable checkpoint."""
+#: Narrow rows that one task writes where their number is known.
+CUT_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage of a narrow table with a reliable checkpoint; ``rows``: about how many it has, so that few rows are few files."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 

@@ -57,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = cut(_small(cut(_large(now, state[0])), state[0]))
+        now = cut(_small(cut(_large(now, state[0]), state[0]), state[0]), state[0])
         if (then := _state(now)) == state:
             break
         state = then

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import cut, free_name, written
+from chronolith.llm.common import cut, free_name
 
 #: One in so many lines ends a chunk; words of a long line; words of a chunk that may go.
 EVERY, PASSAGE, LEAST = 2, 50, 20
@@ -106,9 +106,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ``n_chunks`` or ``n_removed`` it stays, and the new one has an underscore behind its name.
     """
     added = [free_name(c, docs.columns) for c in ("n_chunks", "n_removed")]
-    # texts are cut once; what is written has the chunks in their place
-    table = written(chunked(_copies(_core(docs))[0]).withColumn("__null", F.col("text").isNull()).drop("text"), "chunks")
-    chunk = table.select("doc_id", "__a", "__b", F.posexplode("__chunks").alias("at", "chunk")).where("chunk.may")
+    core = _core(docs)
+    # texts are cut anew for each use: writing the chunks takes as much disk as the texts
+    cuts = chunked(core.select("doc_id", "text", *_key(core)))
+    chunk = cuts.select("doc_id", "__a", "__b", F.posexplode("__chunks").alias("at", "chunk")).where("chunk.may")
     chunk = chunk.select(_place(F.col("at")), F.col("chunk.text").alias("chunk"), F.xxhash64("chunk.text").alias("digest"))
     groups = chunk.groupBy("chunk", "digest").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     # Bytes are compared by the grouping; an occurrence then finds its group by two independent digests.
@@ -119,10 +120,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     count = F.size("__chunks")
     places = F.sequence(F.lit(0), count - 1)
     lost = F.when(F.col("__copy"), F.filter(places, lambda i: F.get("__chunks", i)["may"])).otherwise(F.col("__gone"))
-    out = _held(table.join(gone, ["__a", "__b"], "left"), __lost=F.coalesce(lost, F.array().cast("array<int>")))
-    kept = F.when(F.size("__lost") == 0, F.col("__chunks")).otherwise(F.transform(F.array_except(places, F.col("__lost")), lambda i: F.get("__chunks", i)))
-    out = out.withColumn("text", F.when(~F.col("__null"), F.array_join(F.transform(kept, lambda c: c["text"]), "\n")))
-    return _unfolded(out, docs, F.when(F.col("__null"), 0).otherwise(count).cast("bigint").alias(added[0]), F.size("__lost").cast("bigint").alias(added[1]))
+    out = _held(chunked(_copies(core)[0].join(gone, ["__a", "__b"], "left")), __lost=F.coalesce(lost, F.array().cast("array<int>")))
+    kept = F.transform(F.array_except(places, F.col("__lost")), lambda i: F.get("__chunks", i)["text"])
+    number = F.when(F.col("text").isNull(), 0).otherwise(count).cast("bigint")
+    out = out.withColumn("__count", number).withColumn("text", F.when(F.size("__lost") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return _unfolded(out, docs, F.col("__count").alias(added[0]), F.size("__lost").cast("bigint").alias(added[1]))
 
 
 def _passages(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from chronolith.llm.common import bounded, cut, lean, ship, utf8, written
 
 SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Tokens and pieces of a window, and white-space separated strings kept with their ids, at most.
-WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 800_000
+WINDOW_TOKENS, WINDOW_PIECES, KEPT = 6_000_000, 50_000, 500_000
 #: Parts of a lower-cased string of Latin letters, digits and signs that the tokenizer treats one by one.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sa-z0-9\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Strings that PARTS covers: others go through the whole tokenizer.
