@@ -37,8 +37,10 @@ FEW = 500_000
 PRINTS, SHINGLE, SIMILAR = 6, 5, 0.8
 #: Segments of a text that are compared whole: so many, of so many words on average and at least.
 SEGMENTS, SEGMENT_WORDS, SEGMENT_LEAST = 6, 16, 6
-#: Members of a part of a segment's texts; members up to which all pairs of a part are weighed; neighbours weighed beyond.
+#: Members of a part of a segment's texts; members up to which all pairs of a part are weighed at first; neighbours weighed beyond.
 SEGMENT_PART, SEGMENT_ALL, NEIGHBOURS = 4096, 64, 4
+#: Bits of the map of a text's shingle set.
+MAP = 2048
 
 
 def shingle_hashes(text: bytes | None, size: int) -> Iterator[np.ndarray]:
@@ -115,14 +117,19 @@ def _meetings(rows: DataFrame, radius: int, n: int, part: int = SHARD, place: tu
     kept = [c for c in rows.columns if c not in ("fp", "f")]
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(n, radius)))))
     dealt = rows.select("fp", "f", *kept, keys.alias("k")).select("fp", "f", *kept, "k.t", "k.key")
-    big = dealt.groupBy("f", "t", "key").count().where(F.col("count") > part)
-    big = cut(big.select("f", "t", "key", F.ceil(F.col("count") / part).cast("int").alias("parts")))
-    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "f"), F.col("parts"))).otherwise(0).cast("int")
+    return _parted(dealt, ["f", "t", "key"], part, ["fp", *kept, *place])
+
+
+def _parted(dealt: DataFrame, key: list[str], part: int, columns: list[str]) -> DataFrame:
+    """The columns with ``shard`` for a key and the two parts of it that meet; a ``tree`` row meets those that ``asks``."""
+    big = dealt.groupBy(*key).count().where(F.col("count") > part)
+    big = cut(big.select(*key, F.ceil(F.col("count") / part).cast("int").alias("parts")))
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", key[0]), F.col("parts"))).otherwise(0).cast("int")
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
-    met = dealt.join(big, ["f", "t", "key"], "left").withColumn("own", own).withColumn("other", other)
+    met = dealt.join(big, key, "left").withColumn("own", own).withColumn("other", other)
     met = met.select(
-        F.xxhash64("f", "t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"),
-        "fp", *kept, *place,
+        F.xxhash64(*key, F.least("own", "other"), F.greatest("own", "other")).alias("shard"),
+        *columns,
         (F.col("own") <= F.col("other")).alias("tree"),
         (F.col("own") >= F.col("other")).alias("asks"),
     )
@@ -309,18 +316,25 @@ def _distances(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bitwise_count(sig[a[i : i + 65536]] ^ sig[b[i : i + 65536]]).sum(1, np.int64) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
 
 
+def _each_segment(rows: DataFrame) -> DataFrame:
+    """``(segs, ...)`` -> a row with ``seg`` for each of a text's segments."""
+    one = F.explode(F.sequence(F.lit(1), F.floor(F.length("segs") / 8)))
+    seg = F.conv(F.hex(F.substring("segs", (F.col("i") - 1).cast("int") * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    return rows.where(F.length("segs") > 0).withColumn("i", one).withColumn("seg", seg).drop("segs", "i")
+
+
 def _segment_pairs(signed: DataFrame) -> DataFrame:
     """``(node, sig, segs, size)`` -> candidate pairs of texts that have a segment in common.
 
-    A least spanning forest of each segment's texts: of all their pairs where they are few, else of those with
-    the next in size, so that a segment in very many texts gives a few pairs for each. Such texts go in parts.
+    A spanning tree of each segment's texts, least of all their pairs where they are few, else of those with
+    the next in size, so that a segment in very many texts gives a few pairs for each. Such texts go in parts, and
+    one of them is in every part, which joins the trees. What a tree leaves out is looked at by :func:`_late_segment_links`.
     """
-    one = F.explode(F.sequence(F.lit(1), F.floor(F.length("segs") / 8)))
-    rows = signed.where(F.length("segs") > 0).withColumn("i", one)
-    rows = rows.select("node", "sig", "size", F.conv(F.hex(F.substring("segs", (F.col("i") - 1).cast("int") * 8 + 1, F.lit(8))), 16, -10).cast("bigint").alias("seg"))
-    count = cut(rows.groupBy("seg").count().where("count > 1"))
-    parts = F.ceil(F.col("count") / SEGMENT_PART)
-    met = rows.join(count, "seg").withColumn("shard", F.xxhash64("seg", F.pmod(F.xxhash64("node"), parts)))
+    rows = _each_segment(signed)
+    count = cut(rows.groupBy("seg").agg(F.count("*").alias("count"), F.min("node").alias("first")).where("count > 1"))
+    count = count.select("seg", "first", F.ceil(F.col("count") / SEGMENT_PART).alias("parts"))
+    part = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
+    met = rows.join(count, "seg").withColumn("part", F.explode(part)).withColumn("shard", F.xxhash64("seg", "part"))
     met = met.select("shard", "seg", "size", "node", "sig").repartition("shard").sortWithinPartitions("shard", "seg", "size", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,6 +417,84 @@ def _late_links(open_nodes: DataFrame, texts: DataFrame, radius: int) -> DataFra
     return told.select(*named.columns, "text").mapInArrow(lean(compare), "u bigint, v bigint")
 
 
+def _shingle_map(shingles: np.ndarray) -> bytes:
+    """A bit for each of ``MAP`` classes of hashes, set where the set has one."""
+    held = np.zeros(MAP, bool)
+    held[(shingles & np.uint64(MAP - 1)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def _may_be_similar(table: pa.Table, pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``(shard, n, bits, label, tree, asks)`` -> the pairs that meet, have two labels and can have a cosine of ``SIMILAR``.
+
+    No such pair is lost: sizes bound the cosine, and every bit that one map has and the other has not stands for
+    a shingle which the other has not.
+    """
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shard, n, label = (table.column(c).to_numpy() for c in ("shard", "n", "label"))
+    tree, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "asks"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, MAP // 64)
+    rest = n - np.bitwise_count(bits).sum(1, np.int64)
+    order = np.lexsort((n, shard))
+    run = np.cumsum(np.r_[False, shard[order][1:] != shard[order][:-1]]) << 40
+    # in the order of sizes a row meets those behind it, up to the largest that its own allows
+    end = np.searchsorted(run + n[order], run + (n[order] / SIMILAR**2 + 1).astype(np.int64), side="right")
+    count = end - np.arange(len(order)) - 1
+    total, found = np.cumsum(count), []
+    for low in range(0, int(total[-1]), pairs):
+        k = np.arange(low, min(low + pairs, int(total[-1])))
+        at = np.searchsorted(total, k, side="right")
+        a, b = order[at], order[at + 1 + k - (total[at] - count[at])]
+        keep = (label[a] != label[b]) & (tree[a] & asks[b] | tree[b] & asks[a])
+        a, b = a[keep], b[keep]
+        both = np.bitwise_count(bits[a] & bits[b]).sum(1, np.int64)
+        keep = both + np.minimum(rest[a], rest[b]) >= SIMILAR * np.sqrt(n[a] * n[b]) - 1e-6
+        found.append((a[keep], b[keep]))
+    return tuple(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+
+
+def _late_segment_links(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, segs, label)`` -> links ``(u, v)`` that hold between nodes of different labels that have a segment in common.
+
+    All pairs of a segment's nodes are weighed by the sizes and maps of their shingle sets, in parts that meet pairwise; none is
+    emitted, but the nodes that have a partner left. These meet again in smaller parts, with their texts, which are compared.
+    """
+    rows = _each_segment(open_nodes.select("node", "label", "segs"))
+    mixed = rows.groupBy("seg").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = cut(rows.join(mixed.select("seg"), "seg").select("seg", "node", "label"))
+
+    def with_texts(of: DataFrame) -> DataFrame:
+        return texts.select("node", "text").join(_few(cut(of.select("node").distinct())), "node", "left_semi")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 200):
+            sets = [_shingle_set(_unpacked(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_shingle_map(x) for x in sets], pa.binary())], names=["node", "n", "bits"]
+            )
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _bounded(_whole_shards(batches, 8192)):
+            ends = np.unique(np.concatenate(_may_be_similar(table)))
+            yield from table.take(pa.array(ends)).select(columns).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_shards(batches, 1):
+            shard = table.column("shard").to_numpy()
+            edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            for low, high in zip(edges, edges[1:]):
+                yield _compared(table.slice(low, high - low).combine_chunks(), _may_be_similar)
+
+    columns = ["seg", "node", "label", "n", "bits"]
+    maps = with_texts(rows).mapInArrow(lean(sketch), "node bigint, n bigint, bits binary")
+    met = _parted(cut(rows.join(maps, "node").select(*columns)), ["seg"], SHARD, columns)
+    named = cut(met.mapInArrow(lean(name), "seg bigint, node bigint, label bigint, n bigint, bits binary").distinct())
+    met = _parted(named, ["seg"], LATE, columns)
+    told = met.join(with_texts(named), "node").repartition("shard").sortWithinPartitions("shard", "node")
+    return told.select(*met.columns, "text").mapInArrow(lean(compare), "u bigint, v bigint")
+
+
 def _compared(table: pa.Table, between) -> pa.RecordBatch:
     """One shard's links that hold, but those between nodes already connected here."""
     node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
@@ -429,7 +521,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Candidates come from ``PRINTS`` SimHashes searched through BK-trees, and from whole segments in common. The shingles of a spanning
     forest of them are compared first, which joins nearly all copies; then those of every candidate
-    pair whose ends are still apart. ``node`` is the hash from :func:`content_prints`; roots are left out. Null and empty texts
+    pair, of either kind, whose ends are still apart. ``node`` is the hash from :func:`content_prints`; roots are left out. Null and empty texts
     have one node. Repeated rows are one node; an empty table gives no rows.
     """
     ship(docs.sparkSession)
@@ -474,9 +566,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     failed = tested.where("not same").join(label("u"), "u", "left").join(label("v"), "v", "left")
     failed = failed.select(F.coalesce("of_u", "u").alias("a"), F.coalesce("of_v", "v").alias("b")).where("a <> b")
     unsettled = failed.select(F.explode(F.array("a", "b")).alias("label")).distinct()
-    named = kept.select("node", "sig").join(root, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label"))
+    named = kept.select("node", "sig", "segs").join(root, "node", "left").select("node", "sig", "segs", F.coalesce("root", "node").alias("label"))
     open_nodes = cut(named.join(unsettled, "label", "left_semi"))
-    late = _late_links(open_nodes, kept, radius)
+    late = _late_links(open_nodes.drop("segs"), kept, radius).union(_late_segment_links(open_nodes, kept))
     out = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
     dropped(kept)  # what comes out is checkpointed
     return out

@@ -189,6 +189,29 @@ def test_near_duplicates_found(spark):
     assert all(most[n] == most[r] for n, r in got.items())
 
 
+@pytest.mark.parametrize("part", [4096, 40])
+def test_texts_of_a_common_segment_lose_no_link(spark, monkeypatch, part):
+    """A passage in all texts: copies of a text differ in size, so many others stand between them."""
+    monkeypatch.setattr(simhash, "SEGMENT_PART", part)  # a segment's texts in one part, or in several
+    monkeypatch.setattr(simhash, "SHARD", 32)
+    monkeypatch.setattr(simhash, "LATE", 16)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    passage, texts = [word() for _ in range(70)], []
+    for _ in range(120):
+        body = [word() for _ in range(30)]
+        same, more = body[: draw.randint(16, 22)], [word() for _ in range(draw.randint(0, 8))]
+        texts += [" ".join(passage + body), " ".join(passage + same + more)]
+    pairs, nodes = near_pairs(texts)
+    held = {simhash.content_prints(t.encode())[0]: simhash.content_prints(t.encode())[2] for t in texts}
+    common = [(a, b) for a, b, _ in pairs if {held[a][i : i + 8] for i in range(0, len(held[a]), 8)} & {held[b][i : i + 8] for i in range(0, len(held[b]), 8)}]
+    got = {n: n for n in nodes} | {r.node: r.root for r in simhash.near_duplicate_groups(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).collect()}
+    most = united([p[:2] for p in pairs], nodes)
+    assert len(common) > 60 and len(set(most.values())) > 100
+    assert all(got[a] == got[b] for a, b in common)
+    assert all(most[n] == most[r] for n, r in got.items())
+
+
 def test_segments_outlive_blocks():
     words = [w.encode() for w in prose(400).split()]
     whole, cut = (np.frombuffer(simhash.segments(w), ">u8") for w in (words, words[:200] + words[230:]))
